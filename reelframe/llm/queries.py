@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import exact_dedup, url_filter
+from reelframe.llm import bpe, exact_dedup, language_id, license_scan, url_filter
 from reelframe.llm.common import table
 
 
@@ -43,5 +43,24 @@ SELECT page_id, host, path, rule,
 FROM j
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op10_url_filter": op10_url_filter}
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer file is; the same on the driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_predictions(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+QUERIES = {"op3_bpe": op3_bpe, "op5_license_scan": op5_license_scan, "op8_language_id": op8_language_id} | {"op1_exact_dedup": op1_exact_dedup, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_url_filter": OP10_SQL}
