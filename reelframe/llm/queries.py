@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import bpe, exact_dedup, language_id, license_scan, url_filter
+from reelframe.llm import bpe, class_lm, decontaminate, exact_dedup, language_id, license_scan, token_counts, url_filter
 from reelframe.llm.common import table
 
 
@@ -50,6 +50,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.held_out_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_edited(table(spark, sf_dir, "documents", "doc_id", "text"), token_counts.standard_edits(), tokenizer_path())
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
@@ -62,5 +74,5 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_predictions(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op5_license_scan": op5_license_scan, "op8_language_id": op8_language_id} | {"op1_exact_dedup": op1_exact_dedup, "op10_url_filter": op10_url_filter}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_class_lm": op4_class_lm, "op7_token_counts": op7_token_counts, "op3_bpe": op3_bpe, "op5_license_scan": op5_license_scan, "op8_language_id": op8_language_id} | {"op1_exact_dedup": op1_exact_dedup, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_url_filter": OP10_SQL}
