@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import bpe, class_lm, decontaminate, exact_dedup, language_id, license_scan, token_counts, url_filter
+from reelframe.llm import bpe, class_lm, decontaminate, exact_dedup, language_id, license_scan, near_dedup, substring_dedup, token_counts, url_filter
 from reelframe.llm.common import table
 
 
@@ -74,5 +74,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_predictions(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op4_class_lm": op4_class_lm, "op7_token_counts": op7_token_counts, "op3_bpe": op3_bpe, "op5_license_scan": op5_license_scan, "op8_language_id": op8_language_id} | {"op1_exact_dedup": op1_exact_dedup, "op10_url_filter": op10_url_filter}
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False).drop("kept")
+
+
+QUERIES = {"op6_near_dedup": op6_near_dedup, "op9_substring_dedup": op9_substring_dedup, "op2_decontaminate": op2_decontaminate, "op4_class_lm": op4_class_lm, "op7_token_counts": op7_token_counts, "op3_bpe": op3_bpe, "op5_license_scan": op5_license_scan, "op8_language_id": op8_language_id} | {"op1_exact_dedup": op1_exact_dedup, "op10_url_filter": op10_url_filter}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op10_url_filter": OP10_SQL}
