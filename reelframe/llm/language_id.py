@@ -139,6 +139,19 @@ def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
+def judged(column: pa.Array, profiles: Profiles) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text of a column."""
+    texts = texts_of(column)
+    ascii_letter = np.concatenate([[0], np.cumsum((SYMBOLS[texts.data] > 0) & (texts.data < 128))])
+    known = np.diff(ascii_letter[texts.offsets]) > 0
+    for i in np.flatnonzero(~known):
+        known[i] = has_letter(texts.bytes(i))
+    if not profiles.languages:
+        return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    best, score = nearest(texts, profiles)
+    return np.where(known, np.array(profiles.languages, object)[best], UNKNOWN), np.where(known, score, 0.0)
+
+
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """doc_id, lang_pred, score of each row, from its text alone.
 
@@ -150,18 +163,8 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches, 1 << 20):
-            column = batch.column(1)
-            texts = texts_of(column)
-            ascii_letter = np.concatenate([[0], np.cumsum((SYMBOLS[texts.data] > 0) & (texts.data < 128))])
-            known = np.diff(ascii_letter[texts.offsets]) > 0
-            for i in np.flatnonzero(~known):
-                known[i] = has_letter(texts.bytes(i))
-            if profiles.languages:
-                best, score = nearest(texts, profiles)
-            else:
-                best, score, known = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            names = [profiles.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0), pa.float64())], ["doc_id", "lang_pred", "score"])
+            names, score = judged(batch.column(1), profiles)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -178,3 +181,19 @@ def held_out_predictions(docs: DataFrame) -> DataFrame:
     """
     found = predict(docs, train(training_rows(docs)))
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def in_a_language(docs: DataFrame) -> DataFrame:
+    """The rows of docs (all columns) whose text has a language, by profiles of all of docs' labelled rows.
+
+    A text with a letter always gets a language; null and letterless ones go.
+    Rows are judged where they are read: the decision travels with the row.
+    """
+    profiles = train(docs)
+
+    def run(batches):
+        for batch in slices(batches, 1 << 20):
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array(judged(texts, profiles)[0] != UNKNOWN))
+
+    return docs.mapInArrow(run, docs.schema)
