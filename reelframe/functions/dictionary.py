@@ -15,9 +15,8 @@ def kind(v: Column) -> Column:
     return F.when(v.isNull(), None).when(name.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int").when(name.isin("DOUBLE", "FLOAT", "DECIMAL"), "double").when(name == "VOID", "null").otherwise(F.lower(name))
 
 
-def _to_int(v: Column) -> Column:
+def _to_int(v: Column, k: Column) -> Column:
     """A whole number; doubles truncate, strings give their numeric prefix, booleans 0 or 1, the rest null."""
-    k = kind(v)
     text = F.try_variant_get(v, "$", "string")
     return (
         F.when(k == "int", F.try_variant_get(v, "$", "long"))
@@ -27,9 +26,8 @@ def _to_int(v: Column) -> Column:
     )
 
 
-def _to_double(v: Column) -> Column:
+def _to_double(v: Column, k: Column) -> Column:
     """As to_int, as double; an object with num and den is their quotient (0 if den is 0)."""
-    k = kind(v)
     text = F.try_variant_get(v, "$", "string")
     num, den = F.try_variant_get(v, "$.num", "double"), F.try_variant_get(v, "$.den", "double")
     return (
@@ -40,9 +38,8 @@ def _to_double(v: Column) -> Column:
     )
 
 
-def _to_text(v: Column) -> Column:
+def _to_text(v: Column, k: Column) -> Column:
     """Doubles with six decimals, booleans as true or false, rationals as n/d, the rest unsupported; null is empty."""
-    k = kind(v)
     num, den = F.try_variant_get(v, "$.num", "long"), F.try_variant_get(v, "$.den", "long")
     return (
         F.when(k.isNull() | (k == "null"), "")
@@ -56,8 +53,8 @@ def _to_text(v: Column) -> Column:
 
 
 def _once(v: Column, f) -> Column:
-    """f of v, with v evaluated once and named in f."""
-    return F.get(F.transform(F.array(v), f), 0)
+    """f of a VARIANT and its kind, each evaluated once."""
+    return F.get(F.transform(F.array(F.struct(v.alias("v"), kind(v).alias("k"))), lambda x: f(x["v"], x["k"])), 0)
 
 
 def to_int(v: Column) -> Column:
