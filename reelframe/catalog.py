@@ -150,6 +150,15 @@ MATROSKA_CODECS = [
     ("A_PCM/INT/LIT", "pcm_s16le"), ("A_PCM/INT/BIG", "pcm_s16be"), ("A_PCM/FLOAT/IEEE", "pcm_f32le"), ("A_ALAC", "alac"),
 ]
 
+#: What the enabled implementations give: name, sample formats, pixel formats, threads.
+CAPABILITIES = [
+    ("pcm_u8", ["u8"], [], 1), ("pcm_s16le", ["s16"], [], 1), ("pcm_s24le", ["s32"], [], 1), ("pcm_s32le", ["s32"], [], 1), ("pcm_f32le", ["f32"], [], 1), ("pcm_f64le", ["f64"], [], 1), ("flac", ["s32"], [], 1),
+    ("png", [], ["gray8", "rgba"], 1), ("gif", [], ["rgba"], 1), ("tga", [], ["gray8", "rgba"], 1), ("bmp", [], ["rgba"], 1), ("tiff", [], ["gray8", "gray16", "rgba", "rgba64"], 1),
+]
+
+# Track dispositions by bit.
+DISPOSITIONS = ["default", "forced", "dependent", "original", "dub", "comment", "lyrics", "karaoke", "clean_effects", "hearing_impaired", "visual_impaired", "captions", "descriptions", "cover", "timed_thumbnails", "metadata"]
+
 # Bytes of a sample.
 SAMPLE_BYTES = {"u8": 1, "s16": 2, "s32": 4, "f32": 4, "f64": 8}
 # Rate control modes in order.
@@ -161,6 +170,7 @@ _COLUMNS = {
     "codec_descriptors": ([(k, *r) for k, r in enumerate(CODEC_DESCRIPTORS)], "reg_order int, codec string, name string, type string, can_decode boolean, can_encode boolean, hardware boolean, enabled boolean"),
     "format_descriptors": ([(k, *r) for k, r in enumerate(FORMAT_DESCRIPTORS)], "reg_order int, container string, name string, can_demux boolean, can_mux boolean"),
     "pixel_formats": (PIXEL_FORMATS, "name string, planes int, bpp0 int, bpp1 int, sub_x int, sub_y int, bits int"),
+    "capabilities": (CAPABILITIES, "name string, sample_formats array<string>, pixel_formats array<string>, threads int"),
     "errors": ([(c, n, BANDS[c // 1000]) for c, n in ERRORS], "code int, name string, band string"),
     "sample_entries": (SAMPLE_ENTRIES, "entry string, codec string"),
     "matroska_codecs": (MATROSKA_CODECS, "codec_id string, codec string"),

@@ -127,6 +127,35 @@ def hevc_parameter_sets(config: bytes) -> tuple[int, bytes] | None:
     return (config[21] & 3) + 1, b"".join(out)
 
 
+def vvc_parameter_sets(config: bytes) -> tuple[int, bytes] | None:
+    """(length bytes, Annex B parameter sets) of a VVC configuration record.
+
+    Its profile, tier and level part, if present, has a constraint field and
+    sub-layer levels of variable length before the sub-profiles.
+    """
+    try:
+        length, at = (config[0] >> 1 & 3) + 1, 1
+        if config[0] & 1:
+            sublayers, at = config[2] >> 4 & 7, 4
+            at += 1 + 2 + (config[at] & 63)
+            if sublayers > 1:
+                at += 1 + bin(config[at] >> (9 - sublayers)).count("1")
+            at += 1 + 4 * config[at] + 6
+        out, arrays, at = [], config[at], at + 1
+        for _ in range(arrays):
+            kind, n, at = config[at] & 31, 1, at + 1
+            if kind not in (12, 13):  # those two stand alone, without a count
+                n, at = int.from_bytes(config[at : at + 2], "big"), at + 2
+            for _ in range(n):
+                size = config[at] << 8 | config[at + 1]
+                if size:
+                    out.append(START + config[at + 2 : at + 2 + size])
+                at += 2 + size
+    except IndexError:
+        return None
+    return (length, b"".join(out)) if out else None
+
+
 def descriptor(tag: int, body: bytes) -> bytes:
     """An MPEG-4 descriptor; the size has four bytes of seven bits."""
     n = len(body)

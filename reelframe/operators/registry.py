@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,25 @@ def has(requests: DataFrame, descriptors: DataFrame, codec: str, capability: str
     return requests.join(F.broadcast(able), F.col(codec) == F.col("__codec"), "left_semi")
 
 
+def supporting(descriptors: DataFrame, capabilities: DataFrame, pixel_format: str | None = None, sample_format: str | None = None) -> DataFrame:
+    """Enabled descriptors whose implementation gives this pixel or sample format."""
+    able = capabilities.where(F.lit(pixel_format is None) | F.array_contains("pixel_formats", F.lit(pixel_format or ""))).where(F.lit(sample_format is None) | F.array_contains("sample_formats", F.lit(sample_format or "")))
+    return descriptors.where("enabled").join(F.broadcast(able.select(F.col("name").alias("__name"))), F.col("name") == F.col("__name"), "left_semi")
+
+
+def dispositions(mask: Column) -> Column:
+    """Names of the bits that are set in a disposition mask."""
+    from reelframe.catalog import DISPOSITIONS
+
+    names = F.array(*(F.when(mask.bitwiseAND(1 << k) != 0, F.lit(n)) for k, n in enumerate(DISPOSITIONS)))
+    return F.filter(names, lambda n: n.isNotNull())
+
+
+def is_picture(kind: Column, mask: Column) -> Column:
+    """Whether a track is an image or an attached cover."""
+    return (kind == "image") | (mask.bitwiseAND(1 << 13) != 0)
+
+
 def metadata(requests: DataFrame, meta: DataFrame, codec: str) -> DataFrame:
     """requests with codec_name, codec_long_name and media_type; null for an unknown codec."""
     dim = meta.select(F.col("codec").alias("__codec"), F.col("name").alias("codec_name"), F.col("long_name").alias("codec_long_name"), F.col("type").alias("media_type"))

@@ -235,6 +235,29 @@ def sample_entry_codecs(spark, sf_dir):
     return p.join(F.broadcast(catalog.dimension(spark, "sample_entries")), "entry").select("p_partkey", "entry", "codec")
 
 
+@query(f"""WITH m AS {catalog.values_sql("matroska_codecs")}, e AS (SELECT *, row_number() OVER (ORDER BY codec_id) - 1 AS i FROM m), c AS (SELECT count(*) AS n FROM m)
+SELECT p_partkey, codec_id, codec FROM part, c JOIN e ON p_partkey % n = i""")
+def matroska_codec_ids(spark, sf_dir):
+    ids = sorted(i for i, _ in catalog.MATROSKA_CODECS)
+    p = read(spark, sf_dir, "part", "p_partkey").withColumn("codec_id", F.get(F.array(*map(F.lit, ids)), (F.col("p_partkey") % len(ids)).cast("int")))
+    return p.join(F.broadcast(catalog.dimension(spark, "matroska_codecs")), "codec_id").select("p_partkey", "codec_id", "codec")
+
+
+@query(f"""WITH n AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{d}')" for k, d in enumerate(catalog.DISPOSITIONS))}) AS v(k, name)), p AS (SELECT p_partkey, CAST(p_partkey * 37 % 65536 AS INTEGER) AS mask FROM part)
+SELECT p_partkey, coalesce(string_agg(name, ',' ORDER BY k) FILTER (WHERE (mask >> k) & 1 = 1), '') AS names, p_partkey % 4 = 0 OR (any_value(mask) >> 13) & 1 = 1 AS picture FROM p, n GROUP BY p_partkey""")
+def track_disposition(spark, sf_dir):
+    mask = (F.col("p_partkey") * 37 % 65536).cast("int")
+    kind = F.when(F.col("p_partkey") % 4 == 0, "image").otherwise("audio")
+    return read(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.array_join(registry.dispositions(mask), ",").alias("names"), registry.is_picture(kind, mask).alias("picture"))
+
+
+@query("SELECT * FROM (VALUES ('bmp', 'rgba'), ('gif', 'rgba'), ('png', 'rgba'), ('tga', 'rgba'), ('tiff', 'rgba'), ('png', 'gray8'), ('tga', 'gray8'), ('tiff', 'gray8'), ('flac', 's32'), ('pcm_s24le', 's32'), ('pcm_s32le', 's32')) AS v(name, format)")
+def codec_capabilities(spark, sf_dir):
+    d, c = catalog.dimension(spark, "codec_descriptors"), catalog.dimension(spark, "capabilities")
+    pick = lambda f, **more: registry.supporting(d, c, **more).select("name", F.lit(f).alias("format"))
+    return pick("rgba", pixel_format="rgba").unionByName(pick("gray8", pixel_format="gray8")).unionByName(pick("s32", sample_format="s32"))
+
+
 # --- sample tables -----------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from reelframe.catalog import SAMPLE_ENTRIES
-from reelframe.functions.bitstream import avc_parameter_sets, hevc_parameter_sets, opus_head, to_annexb
+from reelframe.functions.bitstream import avc_parameter_sets, hevc_parameter_sets, opus_head, to_annexb, vvc_parameter_sets
 from reelframe.sources.containers import Malformed, base, big, packet, track
 
 CODECS = dict(SAMPLE_ENTRIES)
@@ -181,6 +181,14 @@ def _entry(b: bytes, at: int, end: int, kind: str) -> dict:
                 raise Malformed(3004)
             out["length_bytes"], out["extradata"] = sets
             out["profile"], out["level"] = (body[1], body[3]) if box == b"avcC" else (body[1] & 31, body[12])
+        elif box == b"vvcC":
+            sets = vvc_parameter_sets(body[4:])
+            if sets is None:
+                raise Malformed(3004)
+            out["length_bytes"], out["extradata"] = sets
+            out["profile"] = body[9] >> 1 if body[4] & 1 else None
+        elif box == b"evcC" and len(body) >= 12:
+            out["extradata"], out["profile"], out["level"] = body, body[1], body[2]
         elif box == b"av1C" and len(body) >= 2:
             out["extradata"], out["profile"], out["level"] = body, body[1] >> 5, body[1] & 31
         elif box == b"vpcC" and len(body) >= 6:
@@ -196,8 +204,8 @@ def _entry(b: bytes, at: int, end: int, kind: str) -> dict:
             out["extradata"] = opus_config(body)
         elif box == b"dfLa":
             out["extradata"] = b"fLaC" + body[4:]
-        elif box in (b"alac", b"vvcC", b"evcC"):
-            out["extradata"] = body[4:] if box == b"alac" else body
+        elif box == b"alac":
+            out["extradata"] = body[4:]
         elif box == b"colr" and body[:4] in (b"nclx", b"nclc") and kind == "video":
             out["video"] |= {"color_space": SPACES.get(big(body, 4, 2)), "transfer": TRANSFERS.get(big(body, 6, 2))}
     return out

@@ -54,6 +54,8 @@ def test_length_prefixed_units():
     assert bitstream.vvc_to_annexb(s) == b"\0\0\0\1ab" and bitstream.vvc_to_annexb(b"\0\0\1x") == b"\0\0\1x"
     config = bytes(21) + bytes([0xFF, 1, 0x20, 0, 1, 0, 2]) + b"VP"
     assert bitstream.hevc_parameter_sets(config) == (4, b"\0\0\0\1VP")
+    vvc = bytes([0xF8 | 3 << 1 | 1, 0, 0x20, 0]) + bytes([2, 1 << 1, 51, 9, 9, 0x80, 40, 1]) + bytes(4) + bytes(6) + bytes([2, 13, 0, 1, 7, 15, 0, 1, 0, 2]) + b"SP"
+    assert bitstream.vvc_parameter_sets(vvc) == (4, b"\0\0\0\1\7\0\0\0\1SP") and bitstream.vvc_parameter_sets(b"\1") is None
     assert len(bitstream.opus_head(2)) == 19 and bitstream.aac_cookie(b"\x12\x10").endswith(b"\2")
 
 
