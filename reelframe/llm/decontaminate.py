@@ -100,28 +100,34 @@ def candidates(index: Index, h: np.ndarray) -> set[int]:
     return found
 
 
+def found_in(index: Index, column: pa.Array) -> list[tuple[int, int, int]]:
+    """(text, item, shared shingles) of each text of a column and item it holds."""
+    texts = texts_of(column)
+    doc, h = positions(words_of(texts, True))
+    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    hit = np.flatnonzero(index.seen[(h >> U64(64 - FILTER_BITS)).astype(np.int64)])
+    out = []
+    for i in np.unique(doc[hit]).tolist():
+        own = h[first[i] : first[i + 1]]
+        found = candidates(index, own)
+        if found:
+            own = np.unique(own)
+            for k in sorted(found):
+                item = index.sets[k]
+                at = np.minimum(np.searchsorted(own, item), len(own) - 1)
+                shared = int((own[at] == item).sum())
+                if 100 * shared >= 100 * THRESHOLD * len(item):
+                    out.append((i, k, shared))
+    return out
+
+
 def search(docs: DataFrame, index_of_block) -> DataFrame:
     """Pairs (doc_id, item_id, n_shared, n_item, containment) of one block."""
 
     def run(batches):
         index = index_of_block.value
         for batch in slices(batches):
-            words = words_of(texts_of(batch.column(1)), True)
-            doc, h = positions(words)
-            first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            hit = np.flatnonzero(index.seen[(h >> U64(64 - FILTER_BITS)).astype(np.int64)])
-            rows = []
-            for i in np.unique(doc[hit]).tolist():
-                own = h[first[i] : first[i + 1]]
-                found = candidates(index, own)
-                if found:
-                    own = np.unique(own)
-                    for k in sorted(found):
-                        item = index.sets[k]
-                        at = np.minimum(np.searchsorted(own, item), len(own) - 1)
-                        shared = int((own[at] == item).sum())
-                        if 100 * shared >= 100 * THRESHOLD * len(item):
-                            rows.append((batch.column(0)[i].as_py(), index.ids[k], shared, len(item), shared / len(item)))
+            rows = [(batch.column(0)[i].as_py(), index.ids[k], n, len(index.sets[k]), n / len(index.sets[k])) for i, k, n in found_in(index, batch.column(1))]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
 
@@ -144,6 +150,16 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, hashes array<long>").where("size(hashes) > 0")
 
 
+def blocks_of(items: DataFrame, block: int):
+    """A broadcast index of each block of items."""
+    sets = item_shingles(items)
+    total = sets.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // block))
+    for k in range(blocks):
+        mine = sets if blocks == 1 else sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        yield items.sparkSession.sparkContext.broadcast(build([(r.item_id, r.hashes) for r in mine.collect()]))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of a document and an item of which it holds at least 0.75 of the shingles.
 
@@ -153,21 +169,26 @@ def contaminated(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataF
     that repeat, in either table, give a pair each; only doc_id, item_id and
     text are read. An empty table gives no pairs.
     """
-    spark = docs.sparkSession
-    sets = item_shingles(items)
-    total = sets.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for k in range(blocks):
-        mine = sets if blocks == 1 else sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(build([(r.item_id, r.hashes) for r in mine.collect()]))
+    for index in blocks_of(items, block):
         found = search(base, index)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs (all columns) that hold no item."""
-    gone = contaminated(docs, items).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of docs (all columns) that hold no item, judged where they are read, with or without a doc_id."""
+    for index in blocks_of(items, block):
+        docs = _clean(docs, index)
+    return docs
+
+
+def _clean(docs: DataFrame, index_of_block) -> DataFrame:
+    def run(batches):
+        for batch in slices(batches):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[i for i, _, _ in found_in(index_of_block.value, batch.column(batch.schema.get_field_index("text")))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -72,4 +72,4 @@ def without_copies(docs: DataFrame) -> DataFrame:
     Rows equal in id and text are one document; all their rows stay.
     """
     gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha"))
-    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.sha2(normalised(F.col("text")), 256) == F.col("__sha")), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.sha2(normalised(F.col("text")), 256) == F.col("__sha")), "left_anti")

@@ -259,6 +259,9 @@ def near_groups(docs: DataFrame, block: int = BLOCK, star: int = STAR) -> DataFr
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs (all columns) whose document stands for its component."""
+    """The rows of docs (all columns) whose document stands for its component.
+
+    Rows without doc_id can't be named, so they all stay.
+    """
     gone = near_groups(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

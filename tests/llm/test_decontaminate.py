@@ -47,9 +47,10 @@ def test_empty_tables(spark):
     assert pairs(spark, [None, ""], [None, ""]) == set()
 
 
-def test_only_leaking_rows_go(spark):
-    docs = brute.spark_docs(spark, [(1, "x y a b c d e f g z"), (2, None), (None, "q"), (3, "clean text")])
-    bench = spark.createDataFrame([(7, "a b c d e f g")], "item_id long, text string")
-    left = decontaminate.without_leaks(docs.withColumn("item_id", docs.doc_id), bench)
+@pytest.mark.parametrize("block", [decontaminate.BLOCK, 2])
+def test_only_leaking_rows_go(spark, block):
+    docs = brute.spark_docs(spark, [(1, "x y a b c d e f g z"), (2, None), (None, "q"), (3, "clean text"), (None, "A b c d e f g"), (4, "one two three four five six")])
+    bench = spark.createDataFrame([(7, "a b c d e f g"), (8, "one two three four five six")], "item_id long, text string")
+    left = decontaminate.without_leaks(docs.withColumn("item_id", docs.doc_id), bench, block)
     assert left.columns == [*docs.columns, "item_id"]
-    assert {r.doc_id for r in left.collect()} == {2, None, 3}
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(2, None), (None, "q"), (3, "clean text")}

@@ -33,10 +33,10 @@ def test_odd_tables(spark):
 
 
 def test_all_columns_stay(spark):
-    docs = brute.spark_docs(spark, [(2, "a b"), (1, "a  b"), (3, "c")])
+    docs = brute.spark_docs(spark, [(2, "a b"), (1, "a  b"), (3, "c"), (None, "c"), (None, "d")])
     left = exact_dedup.without_copies(docs.withColumn("keep_id", docs.doc_id))
     assert left.columns == [*docs.columns, "keep_id"]
-    assert {r.doc_id for r in left.collect()} == {1, 3}
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(1, "a  b"), (3, "c"), (None, "d")}
 
 
 def test_main_path_is_native(spark):

@@ -75,3 +75,10 @@ def test_components_of_random_graphs(spark):
             if x != y:
                 root[y] = x
         assert got == {x: find(x) for x in {*a.tolist(), *b.tolist()} if find(x) != x}
+
+
+def test_rows_without_an_id_stay(spark):
+    docs = brute.spark_docs(spark, [(2, "a b c d e f"), (1, "a b c d e F"), (None, "a b c d e f"), (None, "other words of a text")])
+    left = near_dedup.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "a b c d e f"), (0, "other words of a text"), (1, "a b c d e F")]
