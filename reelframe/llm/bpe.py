@@ -31,7 +31,7 @@ from reelframe.llm.kernels import U64, _TABLES, Texts, byte_values, slices, text
 
 # Fixed value: the published pattern of byte-level pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WINDOW, CUT_BITS, CACHE_BYTES = 32, 10, 48 << 20
+WINDOW, CUT_BITS, CACHE_BYTES = 32, 10, 16 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -79,34 +79,42 @@ class Codec:
     """A byte-level BPE tokenizer whose chunks are encoded once."""
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        added = self.tokenizer.get_added_tokens_decoder()
+        self.path = path
+        library = self.tokenizer
+        added = library.get_added_tokens_decoder()
         alphabet = byte_alphabet()
-        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        vocabulary = library.get_vocab(with_added_tokens=True)
+        size = max(vocabulary.values()) + 1
         self.pieces = [b""] * size
-        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+        for token, k in vocabulary.items():
             self.pieces[k] = token.encode() if k in added else bytes(alphabet[c] for c in token)
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
         self.names = [str(k) for k in range(size)]
-        self.ranked = self._ranked(added)
+        self.ranked = self._ranked(library, added)
         self.cache: dict[bytes, np.ndarray] = {}
-        self.used, self.limit = 0, cache_bytes
+        self.used, self.limit, self.library = 0, cache_bytes, None
+
+    @property
+    def tokenizer(self):
+        """The library's tokenizer, read again each time: a codec that is ranked needn't hold it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
 
-    def _ranked(self, added: dict):
+    def _ranked(self, library, added: dict):
         """A tiktoken encoding of the same vocabulary, several times as fast, or None.
 
         It merges by rank, so it equals the library where ids rise with the
         order of merges, the pattern is the byte-level one, and added tokens
         are plain special ones.
         """
-        model = json.loads(self.tokenizer.to_str())
+        model = json.loads(library.to_str())
         bpe, pre = model["model"], model["pre_tokenizer"] or {}
-        made = [self.tokenizer.token_to_id("".join(m if isinstance(m, list) else m.split(" "))) for m in bpe.get("merges", [])]
+        made = [library.token_to_id("".join(m if isinstance(m, list) else m.split(" "))) for m in bpe.get("merges", [])]
         plain = bpe["type"] == "BPE" and not bpe.get("dropout") and not bpe.get("ignore_merges") and not bpe.get("continuing_subword_prefix") and not bpe.get("end_of_word_suffix")
         plain &= pre.get("type") == "ByteLevel" and pre.get("use_regex") is True and pre.get("add_prefix_space") is False and not model["normalizer"]
         plain &= all(a < b for a, b in zip(made[:-1], made[1:], strict=True)) and len(made) + 256 + len(added) == len(self.pieces)
@@ -121,7 +129,9 @@ class Codec:
     def _encode_new(self, chunks: list[str]) -> list[list[int]]:
         if self.ranked is not None:
             return [self.ranked.encode(c, allowed_special="all") for c in chunks]
-        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        if self.library is None:
+            self.library = self.tokenizer
+        return [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _encode_all(self, chunks: list[bytes]) -> dict[bytes, np.ndarray]:
         """Ids of each distinct chunk; what the cache lacks is encoded once."""
@@ -221,7 +231,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):
             ids = codec(path).encode(texts_of(batch.column(1)))
             at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -248,7 +258,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     from hashlib import sha256
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):
             own, rows = codec(path), []
             for x in own.encode(texts_of(batch.column(1))):
                 ids = x.tolist()

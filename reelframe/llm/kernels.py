@@ -201,3 +201,4 @@ def slices(batches, limit: int = 4 << 20, column: str = "text"):
             j = max(i + 1, int(np.searchsorted(texts.offsets, texts.offsets[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+        pa.default_memory_pool().release_unused()

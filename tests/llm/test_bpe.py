@@ -25,20 +25,21 @@ def test_ids_are_the_librarys(monkeypatch, ranked, bits):
     own = bpe.Codec(tokenizer_path(), cache_bytes=50_000)
     assert own.ranked is not None
     own.ranked = own.ranked if ranked else None
-    rows = texts()
+    rows, library = texts(), own.tokenizer
     got = [ids for b in slices(pa.table({"text": pa.array(rows, pa.string())}).to_batches()) for ids in own.encode(texts_of(b.column(0)))]
     for text, ids in zip(rows, got, strict=True):
-        want = own.tokenizer.encode(text or "", add_special_tokens=False).ids
+        want = library.encode(text or "", add_special_tokens=False).ids
         assert ids.tolist() == want
-        assert own.decode(want) == own.tokenizer.decode(want, skip_special_tokens=False)
+        assert own.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
 def test_any_ids_decode_as_the_librarys():
     own, rng = bpe.codec(tokenizer_path()), np.random.default_rng(2)
+    library = own.tokenizer
     for n in (0, 1, 5, 200):
         for _ in range(50):
             ids = rng.integers(0, len(own.pieces), n).tolist()
-            assert own.decode(ids) == own.tokenizer.decode(ids, skip_special_tokens=False)
+            assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_shared_chunks_are_encoded_once():
@@ -54,8 +55,8 @@ def test_shared_chunks_are_encoded_once():
 def test_tables(spark):
     rows = texts()
     docs = brute.spark_docs(spark, rows)
-    own = bpe.codec(tokenizer_path())
-    want = {d: own.tokenizer.encode(t or "", add_special_tokens=False).ids for d, t in enumerate(rows)}
+    library = bpe.codec(tokenizer_path()).tokenizer
+    want = {d: library.encode(t or "", add_special_tokens=False).ids for d, t in enumerate(rows)}
     encoded = bpe.encode(docs, tokenizer_path())
     assert {r.doc_id: r.ids for r in encoded.collect()} == want
     assert {r.doc_id: r.text for r in bpe.decode(encoded, tokenizer_path()).collect()} == {d: t or "" for d, t in enumerate(rows)}

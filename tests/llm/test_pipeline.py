@@ -26,8 +26,8 @@ def test_run_is_what_the_stages_say(spark, tmp_path):
     for item in items:
         s = brute.shingle_set(item)
         left = [(d, t) for d, t in left if 100 * len(s & brute.shingle_set(t)) < 75 * len(s)]
-    own = codec(tokenizer_path())
-    want = {d: len(own.tokenizer.encode(t, add_special_tokens=False).ids) for d, t in left}
+    library = codec(tokenizer_path()).tokenizer
+    want = {d: len(library.encode(t, add_special_tokens=False).ids) for d, t in left}
 
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "bpe"]
     assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
