@@ -106,9 +106,9 @@ def bigram_counts(texts: DataFrame, clustered: np.ndarray) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["code", "n"])
 
-    rows = texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size, np.int64)
-    out[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out[rows["code"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(size, size)
 
 
@@ -196,14 +196,33 @@ def class_sequence(texts: Texts, words: Words, clustered: np.ndarray, word_class
     return out
 
 
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and shapes of at most this many words, the most frequent first.
+
+    They are the words of at least a least count, found from how many words each
+    count has (few rows: counts differ about as often as the root of all tokens);
+    words that tie at a count enter together or not at all.
+    """
+    words = counts.where(F.col("hash") != END)
+    levels = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow()
+    level, size = levels["n"].to_numpy(), levels["words"].to_numpy()
+    order = np.argsort(-level)
+    fits = order[np.cumsum(size[order]) <= most]
+    least = int(level[fits].min()) if len(fits) else np.iinfo(np.int64).max
+    top = words.where(F.col("n") >= least).select("hash", "n", "shape").toArrow()
+    h, n, shape = top["hash"].to_numpy().view(U64), top["n"].to_numpy(), top["shape"].to_numpy().astype(np.int64)
+    order = np.lexsort((h, -n))
+    return h[order], n[order], shape[order]
+
+
 def train(texts: DataFrame, head: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[Model, DataFrame]:
     """The model of a DataFrame of texts, and all its word counts (hash, shape, n)."""
     counts = cut(word_counts(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-    top = counts.where(F.col("hash") != END).orderBy(F.desc("n"), "hash").limit(head).toPandas()
-    h, n, shape = top["hash"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64), top["shape"].to_numpy(np.int64)
-    keys = np.sort(h[:clustered])
-    rank = np.argsort(np.argsort(h[:clustered]))  # place in keys of the words in order of frequency
+    h, n, _ = most_frequent(counts, head)
+    frequent, _, shape = most_frequent(counts, clustered)
+    keys = np.sort(frequent)
+    rank = np.argsort(np.argsort(frequent))  # place in keys of the words in order of frequency
     bigrams = bigram_counts(texts, keys)
     order = np.append(rank, len(keys))
     found = exchange(bigrams[np.ix_(order, order)], classes, sweeps)
@@ -231,7 +250,7 @@ def train(texts: DataFrame, head: int = HEAD, clustered: int = CLUSTERED, classe
     types[end] = 1
     for r in counts.where(F.col("hash") != END).groupBy("shape").agg(F.count("n").alias("types")).collect():
         types[end + 1 + r["shape"]] += r["types"]
-    types[end + 1 :] -= np.bincount(shape[:clustered], minlength=SHAPES)[:SHAPES]
+    types[end + 1 :] -= np.bincount(shape, minlength=SHAPES)[:SHAPES]
     sort = np.argsort(h)
     return Model(h[sort], np.log10(n[sort] + ALPHA), keys, word_class, end, transition, -np.log10(size + ALPHA * (types + 1)), int(total), int(distinct)), counts
 
