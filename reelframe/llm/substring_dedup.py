@@ -323,7 +323,7 @@ def remove(docs: DataFrame, flags: DataFrame, keep_text: bool) -> DataFrame:
     return docs.groupBy("p").cogroup(flags.groupBy("p")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
-def without_repeats(docs: DataFrame, keep_text: bool = True, spread: int = 4) -> DataFrame:
+def without_repeats(docs: DataFrame, keep_text: bool = True, spread: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept of each row of docs.
 
     kept is the words that no copied window covers, joined by one space (null
@@ -334,9 +334,10 @@ def without_repeats(docs: DataFrame, keep_text: bool = True, spread: int = 4) ->
     another; rows that repeat an id don't take words from each other. Only
     doc_id and text are read. An empty table gives no rows.
     """
-    parts = spread * partitions(docs.sparkSession)
+    buckets = partitions(docs.sparkSession)
+    parts = spread * buckets
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("p", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(parts)).cast("int"))
-    marks = meet_anchors(send_anchors(base, parts))
-    flags = meet_windows(send_windows(base, marks, parts))
+    marks = meet_anchors(send_anchors(base, buckets))
+    flags = meet_windows(send_windows(base, marks, buckets))
     return remove(base, flags, keep_text)
