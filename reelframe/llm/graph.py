@@ -42,23 +42,26 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each node u of edges (u, v), u > v, has one v, which is no u: then v is the component's smallest."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    sums = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not sums.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).limit(1).collect()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node of edges (a, b) that isn't its component's smallest.
 
     Alternates large-star and small-star rounds, which need a logarithmic number
-    of them, until the edges stay the same. Aggregates combine before their
-    shuffles, and the skewed joins of a hub with its neighbours can be split.
+    of them, until the edges are stars. Aggregates combine before their shuffles,
+    and the skewed joins of a hub with its neighbours can be split.
     """
     e = cut(_contracted(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")).distinct())
-    state = None
-    while True:
-        now = tuple(e.agg(F.count("u"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
-        if now == state or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(low, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u > v").distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
