@@ -8,6 +8,8 @@ Python string per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -192,7 +194,14 @@ def distinct_pairs(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.n
     return doc, value
 
 
-def slices(batches, limit: int = 4 << 20, column: str = "text"):
+def _give_back() -> None:
+    """Returns memory that isn't used any more to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slices(batches, limit: int = 2 << 20, column: str = "text"):
     """Record batches cut so that each holds about limit bytes of text, or one row."""
     for batch in batches:
         texts = texts_of(batch.column(batch.schema.get_field_index(column)))
@@ -201,4 +210,4 @@ def slices(batches, limit: int = 4 << 20, column: str = "text"):
             j = max(i + 1, int(np.searchsorted(texts.offsets, texts.offsets[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
-        pa.default_memory_pool().release_unused()
+        _give_back()
