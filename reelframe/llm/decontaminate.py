@@ -6,7 +6,9 @@ shingles, half overlapping, so an item that stands in a long document fills a
 fixed share of some window and containment becomes a Jaccard similarity that
 MinHash finds. Signatures are one-permutation MinHash with so many bins that
 few shingles share one; a window and an item that agree in any bin are a
-candidate. Candidates are verified on all shingles of item and document.
+candidate. Items of under SMALL shingles have too few bins for that: all their
+shingles are indexed, and any that occurs makes a candidate, so none is missed.
+Candidates are verified on all shingles of item and document.
 
 The search runs where the documents are read, without a shuffle. The index of
 items is broadcast in blocks of bounded size, with one pass over the documents
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from reelframe.llm.kernels import U64, Words, grams, shingles, slices, texts_of, words_of
 
 SHINGLE, THRESHOLD, MAX_BINS = 5, 0.75, 1024
+#: Items of fewer shingles are searched without windows; a power of two, so whole size classes.
+SMALL = 8
 #: Shingles of items in one broadcast block (8 bytes each, about four times that as an index).
 BLOCK = 2_000_000
 FILTER_BITS = 22
@@ -36,7 +40,7 @@ def bins_of(size_class: int) -> int:
 
 @dataclass
 class Index:
-    """Items of a block; minima are sorted, each with its class and item."""
+    """Items of a block; minima (of small items all shingles) are sorted, each with its class and item."""
 
     ids: list[int]
     sets: list[np.ndarray]
@@ -56,7 +60,7 @@ def build(items: list[tuple[int, list[int]]]) -> Index:
         size_class = int(len(h)).bit_length() - 1
         bins = h % U64(bins_of(size_class))
         order = np.lexsort((h, bins))
-        low = h[order][np.concatenate([[True], np.diff(bins[order].astype(np.int64)) != 0])]
+        low = h if len(h) < SMALL else h[order][np.concatenate([[True], np.diff(bins[order].astype(np.int64)) != 0])]
         minima.append(low)
         classes.append(np.full(len(low), size_class))
         owners.append(np.full(len(low), k))
@@ -83,7 +87,7 @@ def positions(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(index: Index, h: np.ndarray) -> set[int]:
-    """Items that agree with a window of the document (shingles h, in order) in a bin."""
+    """Items that agree with a window of the document (shingles h, in order) in a bin, and small items that share a shingle."""
     found: set[int] = set()
     for p in np.flatnonzero(index.seen[(h >> U64(64 - FILTER_BITS)).astype(np.int64)]).tolist():
         low, high = np.searchsorted(index.minima, h[p], "left"), np.searchsorted(index.minima, h[p], "right")
@@ -91,6 +95,9 @@ def candidates(index: Index, h: np.ndarray) -> set[int]:
             owner, size_class = int(index.owners[k]), int(index.classes[k])
             if owner in found:
                 continue
+            if 1 << size_class < SMALL:
+                found.add(owner)
+                continue
             width, stride, bins = 4 << size_class, 2 << size_class, U64(bins_of(size_class))
             for begin in {max(0, p // stride - 1) * stride, p // stride * stride}:
                 window = h[begin : begin + width]

@@ -41,6 +41,23 @@ def test_finds_what_brute_force_finds(spark, block):
     assert pairs(spark, texts, items, block=block) == expected(texts, items)
 
 
+def test_short_items_inside_long_documents_are_all_found(spark):
+    rng = random.Random(11)
+    items, texts = [], []
+    for k in range(400):
+        item = [f"i{k}x{j}" for j in range(5 + k % 8 // 6)]
+        host = [f"h{rng.randrange(10**9)}" for _ in range(120)]
+        at = rng.randrange(len(host))
+        items.append(" ".join(item))
+        texts.append(" ".join(host[:at] + item + host[at:]))
+    assert pairs(spark, texts, items) == expected_diagonal(texts, items)
+
+
+def expected_diagonal(texts, items):
+    """As expected, for item k in document k only: no two items or hosts share a shingle."""
+    return {(k, k, len(s := brute.shingle_set(i)), len(s)) for k, (t, i) in enumerate(zip(texts, items, strict=True)) if brute.shingle_set(i) <= brute.shingle_set(t)}
+
+
 def test_empty_tables(spark):
     assert pairs(spark, [], ["a b c d e f"]) == set()
     assert pairs(spark, ["a b c d e f"], []) == set()
