@@ -63,6 +63,54 @@ def test_classes_beat_single_words_on_held_out_text(spark):
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def trained(spark, texts, **more):
+    rows = spark.createDataFrame([(d, t, True) for d, t in enumerate(texts)], "doc_id long, text string, training boolean")
+    return class_lm.train(rows, **more)
+
+
+@pytest.mark.parametrize("head", [class_lm.HEAD, 20])
+def test_words_beyond_the_first_get_their_classes_from_their_neighbours(spark, head):
+    import random
+
+    rng = random.Random(7)
+    texts = [" ".join(f"a{int(rng.random() ** 3 * 150)} b{int(rng.random() ** 3 * 150)}" for _ in range(30)) for _ in range(150)]
+    slices, model, reached = trained(spark, texts, head=head, clustered=16, classes=2)
+    opened = list(class_lm.opened(slices.toArrow().to_batches(), model))
+    assert sum(len(tokens) - 1 for _, tokens, *_ in opened) == model.total == model.table.sum()
+    assert all((classes[tokens] <= model.classes).all() for _, tokens, _, classes, _ in opened)  # none is without a class
+    assert model.types[:-2].sum() == len({w for t in texts for w in t.split(" ")})
+    assert reached[-1] > reached[0]
+
+
+def test_classes_grow_with_the_vocabulary(spark):
+    assert trained(spark, [" ".join(f"w{k}" for k in range(1000))], classes=4)[1].classes == 10
+
+
+def test_gains_are_those_of_the_likelihood():
+    """Exact for words whose neighbours are in classes that they neither leave nor enter."""
+    rng = np.random.default_rng(3)
+    k = 5  # three classes of words, the end's, and none
+    b = np.zeros((12, 12), np.int64)
+    b[:6, 6:11] = rng.integers(0, 8, (6, 5))
+    b[6:11, :6] = b[:6, 6:11].T
+    b[0] = b[:, 0] = 0
+    b[0, 7] = b[7, 0] = 1  # a word that occurs once
+    own = np.array([0, 1, 0, 1, 0, 1, 2, 2, 2, 2, 2, 3])
+
+    def table(classes):
+        one = np.eye(k, dtype=np.int64)[classes]
+        return one.T @ b @ one
+
+    one = np.eye(k, dtype=np.int64)[own]
+    for w in range(6):
+        contexts = np.concatenate([b[:, w] @ one, b[w] @ one])
+        code = np.flatnonzero(contexts)
+        g = class_lm.Gains(table(own)).of(own[w : w + 1], np.zeros(1, np.int64), code, contexts[code], np.array([b[w].sum()]))[0]
+        to = own.copy()
+        to[w] = 1 - own[w]
+        assert g[to[w]] - g[own[w]] == pytest.approx((class_lm.likelihood(table(to)) - class_lm.likelihood(table(own))) * b.sum())
+
+
 def test_odd_tables(spark):
     assert class_lm.held_out_scores(brute.spark_docs(spark, [])).collect() == []
     rows = class_lm.held_out_scores(brute.spark_docs(spark, [(None, None), (7, "a b"), (7, "a b"), (8, "")]).withColumn("n", brute_lit())).collect()
