@@ -175,11 +175,11 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int | None = None) -> np
 
 
 def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of at most this many words, the most frequent first.
+    """Hashes and counts of this many words (all, if there are fewer), the most frequent first.
 
-    They are the words of at least a least count, found from how many words each
-    count has (few rows: counts differ about as often as the root of all tokens);
-    words that tie at a count enter together or not at all.
+    They are the words above a least count, found from how many words each
+    count has (few rows: counts differ about as often as the root of all tokens),
+    and the first, in order of hash, of those that tie at the next count.
     """
     words = counts.where(F.col("hash") != END)
     levels = words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).toArrow()
@@ -187,6 +187,14 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(-level)
     fit = int((np.cumsum(size[order]) <= most).sum())
     parts = [words.where(F.col("n") >= int(level[order[fit - 1]])).select("hash", "n").toArrow()] if fit else []
+    rest = most - int(size[order[:fit]].sum())
+    if rest and fit < len(order):
+        tied = words.where(F.col("n") == int(level[order[fit]])).select("hash", "n", F.shiftrightunsigned("hash", 48).alias("top"))
+        tops = tied.groupBy("top").count().toArrow()
+        top, size = tops["top"].to_numpy(), tops["count"].to_numpy()
+        by = np.argsort(top)
+        last = int(top[by[np.searchsorted(np.cumsum(size[by]), rest)]])  # the first tops that hold enough words
+        parts.append(tied.where(F.col("top") <= last).select("hash", "n").toArrow())
     h = np.concatenate([x["hash"].to_numpy().view(U64) for x in parts]) if parts else np.zeros(0, U64)
     n = np.concatenate([x["n"].to_numpy() for x in parts]) if parts else np.zeros(0, np.int64)
     order = np.lexsort((h, -n))[:most]

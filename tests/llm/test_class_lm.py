@@ -86,6 +86,15 @@ def test_classes_grow_with_the_vocabulary(spark):
     assert trained(spark, [" ".join(f"w{k}" for k in range(1000))], classes=4)[1].classes == 10
 
 
+def test_words_that_tie_fill_the_head_and_the_seed(spark):
+    texts = spark.createDataFrame([(" ".join(f"w{k}" for k in range(2000)) + " twice twice",)], "text string")
+    counts = class_lm.word_counts(texts)
+    hashes, n = class_lm.most_frequent(counts, 1024)
+    assert n.tolist() == [2] + [1] * 1023 and len(set(hashes.tolist())) == 1024
+    assert (np.diff(hashes[1:].astype(object)) > 0).all()
+    assert len(class_lm.most_frequent(counts, 5000)[0]) == 2001
+
+
 def test_gains_are_those_of_the_likelihood():
     """Exact for words whose neighbours are in classes that they neither leave nor enter."""
     rng = np.random.default_rng(3)
