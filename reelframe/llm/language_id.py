@@ -139,13 +139,19 @@ def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
-def judged(column: pa.Array, profiles: Profiles) -> tuple[np.ndarray, np.ndarray]:
-    """Language and score of each text of a column."""
-    texts = texts_of(column)
+def lettered(texts: Texts) -> np.ndarray:
+    """Whether each text has a letter."""
     ascii_letter = np.concatenate([[0], np.cumsum((SYMBOLS[texts.data] > 0) & (texts.data < 128))])
     known = np.diff(ascii_letter[texts.offsets]) > 0
     for i in np.flatnonzero(~known):
         known[i] = has_letter(texts.bytes(i))
+    return known
+
+
+def judged(column: pa.Array, profiles: Profiles) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text of a column."""
+    texts = texts_of(column)
+    known = lettered(texts)
     if not profiles.languages:
         return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
     best, score = nearest(texts, profiles)
@@ -186,7 +192,8 @@ def held_out_predictions(docs: DataFrame) -> DataFrame:
 def in_a_language(docs: DataFrame) -> DataFrame:
     """The rows of docs (all columns) whose text has a language, by profiles of all of docs' labelled rows.
 
-    A text with a letter always gets a language; null and letterless ones go.
+    A text with a letter always gets a language, whichever profile is nearest; null
+    and letterless ones go. If no row is labelled, texts with a letter stay too.
     Rows are judged where they are read: the decision travels with the row.
     """
     profiles = train(docs)
@@ -194,6 +201,7 @@ def in_a_language(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in slices(batches, 1 << 20):
             texts = batch.column(batch.schema.get_field_index("text"))
-            yield batch.filter(pa.array(judged(texts, profiles)[0] != UNKNOWN))
+            keep = judged(texts, profiles)[0] != UNKNOWN if profiles.languages else lettered(texts_of(texts))
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

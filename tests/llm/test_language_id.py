@@ -73,3 +73,8 @@ def test_empty_tables(spark):
     assert language_id.held_out_predictions(brute.spark_docs(spark, [])).collect() == []
     none = spark.createDataFrame([(1, "some words", None, None, 1)], brute.DOCS)
     assert [(r.lang_pred, r.score) for r in language_id.held_out_predictions(none).collect()] == [("und", 0.0)]
+
+
+def test_the_stage_keeps_lettered_texts_when_no_row_is_labelled(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "123 !", None), (3, None, None), (4, "日本", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language_id.in_a_language(docs).collect()) == [1, 4]
