@@ -1,9 +1,11 @@
-"""Operator 1: exact dedup by a tree-merge of sorted digest runs.
+"""Operator 1: exact dedup by a tree-merge of digest runs, as rounds of aggregates.
 
 Every task's rows first become one run of (digest, smallest doc_id, size): the
 partial aggregate inside the task leaves one entry for each digest, however
 many copies the task read. Runs are then merged in rounds, `fan` runs into one,
-until one run is left; each round keeps the smallest id and adds the sizes. A
+until one run is left; each round keeps the smallest id and adds the sizes.
+Rounds are hash aggregates by run and digest: nothing is sorted, and no sorted
+runs are merged. A
 run is spread over partitions by digest, so no task ever holds a whole run, and
 an entry for a digest meets at most `fan` others in a round, so a group of
 copies that holds a third of all rows weighs no more than any other.
