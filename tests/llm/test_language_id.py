@@ -1,6 +1,10 @@
 import random
+from collections import Counter
+
+import numpy as np
 
 from reelframe.llm import language_id
+from reelframe.llm.kernels import Texts
 from tests.llm import brute
 
 SYLLABLES = {"aa": ["ka", "ri", "mo", "tes"], "bb": ["sch", "ung", "eit", "ver"], "cc": ["été", "ou", "eau", "que"]}
@@ -41,32 +45,69 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert a == b
 
 
-def test_distance_is_the_rank_order_one():
-    import numpy as np
-    import pyarrow as pa
+def plain_grams(text):
+    """N-grams of a text, counted one by one."""
+    s = [""]
+    for c in text or "":
+        c = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else ""
+        if c or s[-1]:
+            s.append(c)
+    s = [*s, ""] if s[-1] or len(s) == 1 else s
+    return Counter(tuple(s[i : i + k]) for k in (1, 2, 3) for i in range(len(s) - k + 1) if any(s[i : i + k]))
+
+
+def plain_ranked(counts, top):
+    return sorted(counts, key=lambda g: (-counts[g], len(g), g))[:top]
+
+
+def plain_prediction(text, profiles, top):
+    own = plain_ranked(plain_grams(text), top)
+    if not own:
+        return "und", 0.0
+    far = {x: sum(abs(p.index(g) - k) if g in p else top for k, g in enumerate(own)) for x, p in profiles.items()}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (len(own) * top)
+
+
+def test_predictions_are_those_of_a_plain_version(spark):
+    docs = table(spark, 120).unionByName(spark.createDataFrame([
+        (900, "Ünïcode ÉTÉ été — ñandú İstanbul ǅ 1a2b", "cc", "s", 0), (901, "汉字 かな 汉字", "dd", "s", 0), (902, "汉字", None, "s", 0), (903, "x" * 3000 + " ka", "aa", "s", 0), (904, "z", None, "s", 0), (904, "z", None, "s", 0),
+    ], brute.DOCS)).repartition(3)
+    top = 40
+    rows = docs.collect()
+    counts = {}
+    for r in rows:
+        if r.text is not None and r.lang is not None:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    profiles = {x: plain_ranked(c, top) for x, c in counts.items() if c}
+    want = sorted((r.doc_id or -1, *plain_prediction(r.text, profiles, top)) for r in rows)
+    got = sorted((r.doc_id or -1, r.lang_pred, r.score) for r in language_id.predict(docs, language_id.train(docs, top)).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(got, want, strict=True))
+
+
+def test_equally_near_languages(spark):
+    docs = spark.createDataFrame([(1, "ab", "y"), (2, "ab", "x")], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in language_id.predict(docs, language_id.train(docs)).collect()] == ["x", "x"]
 
-    from reelframe.llm.kernels import texts_of
 
-    docs, codes = language_id.gram_codes(texts_of(pa.array(["Ab, b", "", "b"])))
-    grams = [sorted(codes[docs == k].tolist()) for k in range(3)]
-    one, two, three = 0, 64, 64 + 64**2
-    want = [1, 2, 2, 2 * 0 + two + 0 * 64 + 1, two + 1 * 64 + 2, two + 2 * 64, two + 2, two + 2 * 64]
-    want += [three + 64 * 1 + 2, three + 1 * 4096 + 2 * 64, three + 2 * 4096 + 2, three + 2 * 64, ]
-    assert grams[0] == sorted(want) and grams[1] == [] and grams[2] == sorted([2, two + 2, two + 128, three + 128])
-    slot = np.full(language_id.SIZE, -1, np.int32)
-    slot[[1, 2, two + 66]] = [0, 1, 2]
-    profiles = language_id.Profiles(["x", "y"], slot, np.array([[0, 1, 5], [5, 0, 1]]), 5)
-    # "ab ab b": b three times (place 0), a and ab twice (places 1 and 2).
-    best, score = language_id.nearest(texts_of(pa.array(["ab ab b"])), profiles)
-    assert best.tolist() == [1] and abs(score[0] - (1 - (0 + 5 + 1) / 15)) < 1e-9
-    assert one == 0
+def test_bytes_that_are_no_utf8_and_wide_alphabets():
+    data = b"ab\xff\xfeC" + "日本".encode()
+    texts = Texts(np.frombuffer(data, np.uint8), np.array([0, 5, len(data)]))
+    g = language_id.grams_of(texts)
+    assert g.lettered.tolist() == [True, True]
+    assert g.codes_of(g.numbers()).tolist() == g.code.tolist()
 
 
 def test_rejected_rows_go_and_columns_stay(spark):
     docs = table(spark)
     left = language_id.in_a_language(docs)
     assert left.columns == docs.columns
-    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in left.collect()} == {240, 241, 242}
+    # Null, empty and letterless texts go, and one in a script that no profile has.
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in left.collect()} == {240, 241, 242, 243}
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    only = [r.doc_id for r in language_id.in_a_language(docs, ["bb"]).collect()]
+    assert only and all(truth[d] == "bb" for d in only)
 
 
 def test_empty_tables(spark):
