@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import cut, partitions
+from reelframe.llm.common import cut, join_by_share, partitions, without
 from reelframe.llm.graph import components, forest
 from reelframe.llm.kernels import U64, mix, shingles, slices, texts_of, words_of
 
@@ -99,16 +99,16 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shingle_blobs(found: DataFrame) -> DataFrame:
-    """node, hubs, sorted shingle hashes as bytes, of rows (node, hubs, text)."""
+    """node, stars, sorted shingle hashes as bytes, of rows (node, stars, text)."""
 
     def run(batches):
         for batch in slices(batches):
             doc, h = shingles(words_of(texts_of(batch.column(2)), True), SHINGLE)
             at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             blobs = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["node", "hubs", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["node", "stars", "set"])
 
-    return found.select("node", "hubs", "text").mapInArrow(run, "node long, hubs array<long>, set binary")
+    return found.select("node", "stars", "text").mapInArrow(run, "node long, stars array<struct<hub:long,salts:array<int>>>, set binary")
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -227,35 +227,38 @@ def near_groups(docs: DataFrame, block: int = BLOCK, star: int = STAR) -> DataFr
     classes = cut(classes.where("node is not null"))
     members = classes.select("node", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = buckets.select(F.col("key").alias("b_key"), F.col("low.node").alias("hub"))
-    members = cut(members.join(buckets, F.col("key") == F.col("b_key")).select("key", "node", "hub"))
-    hubs = members.groupBy("node", "hub").agg(F.lit(1).alias("x"))
-    degree = hubs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(star)).cast("int").alias("salts")).withColumnRenamed("hub", "d_hub")
-    wanted = hubs.groupBy("node").agg(F.collect_list("hub").alias("hubs"))
+    buckets = cut(buckets.select(F.col("key").alias("b_key"), F.col("low.node").alias("hub"), "n"))
+    members = cut(join_by_share(members, buckets, F.col("key") == F.col("b_key"), "n").select("key", "node", "hub"))
+    hubs = cut(members.select("node", "hub").distinct())
+    degree = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).select(F.col("hub").alias("d_hub"), F.ceil(F.col("n") / F.lit(star)).cast("int").alias("salts"), "n")
+    # A hub goes to all parts of its star, any other member to one: settled before a set is moved.
+    salt = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")))
+    placed = join_by_share(hubs, cut(degree), F.col("hub") == F.col("d_hub"), "n").select("node", F.struct("hub", salt.alias("salts")).alias("star"))
+    wanted = placed.groupBy("node").agg(F.collect_list("star").alias("stars"))
     found = base.join(wanted, F.col("doc_id") == F.col("node"))
     sets = cut(shingle_blobs(found))
-    spread = sets.select("node", "set", F.explode("hubs").alias("hub")).join(degree, F.col("hub") == F.col("d_hub"))
-    salt = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")))
-    links = verified_stars(spread.select("hub", F.explode(salt).alias("salt"), "node", "set"), parts)
+    spread = sets.select("node", "set", F.explode("stars").alias("star")).select(F.col("star.hub").alias("hub"), F.explode("star.salts").alias("salt"), "node", "set")
+    links = verified_stars(spread, parts)
     roots = components(links)
     # Buckets that the stars' links leave in several components.
-    labelled = with_root(members, roots)
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("key").alias("o_key"))
-    left = cut(labelled.join(open_keys, F.col("key") == F.col("o_key"), "left_semi").select("node", "hub", "root").distinct())
+    labelled = cut(with_root(members, roots))
+    open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select(F.col("key").alias("o_key"), "n")
+    left = cut(join_by_share(labelled, cut(open_keys), F.col("key") == F.col("o_key"), "n", "left_semi").select("node", "hub", "root").distinct())
     groups = components(left.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     nodes = with_root(left.select("node", F.col("root").alias("own")).distinct(), groups).select("node", F.col("own"), F.col("root").alias("group"))
-    nodes = nodes.join(sets.select(F.col("node").alias("s_node"), F.octet_length("set").alias("bytes")), F.col("node") == F.col("s_node")).drop("s_node")
-    weight = nodes.groupBy("group").agg(F.ceil(F.sum("bytes") / F.lit(8 * block)).cast("int").alias("blocks")).withColumnRenamed("group", "w_group")
-    nodes = nodes.join(weight, F.col("group") == F.col("w_group")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    nodes = cut(nodes.join(sets.select(F.col("node").alias("s_node"), F.octet_length("set").alias("bytes")), F.col("node") == F.col("s_node")).drop("s_node"))
+    weight = nodes.groupBy("group").agg(F.ceil(F.sum("bytes") / F.lit(8 * block)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).withColumnRenamed("group", "w_group")
+    nodes = join_by_share(nodes, cut(weight), F.col("group") == F.col("w_group"), "n").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("group", F.least(k, F.col("block")), F.greatest(k, F.col("block"))))
     nodes = nodes.select("node", F.col("own").alias("root"), "block", F.explode(pairs).alias("cell"))
     more = verified_cells(nodes.join(sets.select(F.col("node").alias("s_node"), "set"), F.col("node") == F.col("s_node")).select("cell", "node", "root", "block", "set"), parts)
     roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    # Back to rows: the class of the rows that share a set, then the component.
-    shared_sets = classes.where("rows > 1").select(F.col("n_shingles").alias("c_n"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("node").alias("c_node"))
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(shared_sets, (F.col("n_shingles") == F.col("c_n")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")), "left")
-    out = with_root(out.withColumn("node", F.coalesce("c_node", "doc_id")), roots)
-    return out.select("doc_id", "n_shingles", F.col("root").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("root")).alias("kept"))
+    # Back to rows: the component of the class of rows that share a set, or of the row itself.
+    shared_sets = with_root(classes.where("rows > 1"), roots).select(F.col("n_shingles").alias("c_n"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("root").alias("c_root"), "rows")
+    same = (F.col("n_shingles") == F.col("c_n")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))
+    out = join_by_share(rows.select("doc_id", "n_shingles", "d1", "d2"), cut(shared_sets), same, "rows", "left")
+    out = with_root(out, roots, "doc_id").withColumn("component_id", F.coalesce("c_root", "root"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -263,5 +266,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without doc_id can't be named, so they all stay.
     """
-    gone = near_groups(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = near_groups(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    return without(docs, gone, F.col("doc_id") == F.col("__gone"))
