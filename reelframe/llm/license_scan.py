@@ -3,13 +3,17 @@
 The phrases and templates are turned into token ids and one generalised suffix
 automaton is built over them on the driver (its size is bounded by theirs and
 checked). Each document's words are streamed through it; the current state and
-match length are the matching statistics. Long matches are chained, in order,
-into covered spans of each template. Words outside the templates' vocabulary
-reset the automaton, so only runs of known words are walked one by one.
+match length are the matching statistics. A match that can't be extended is a
+long match; it stands for all its occurrences in the templates. Each template's
+occurrences are chained: the heaviest chain in order of text and template, less
+a cost for the words of the text between, ends at each of them. Chains that
+cover enough of a template are its spans. Words outside the templates'
+vocabulary reset the automaton, so only runs of known words are walked one by one.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,21 +25,41 @@ from reelframe.llm.kernels import NON_ALNUM, slices, texts_of, words_of
 
 # Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Common notices, as published with the licences, with the method's labels.
-TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "mit-line": "released under the mit license",
-    "apache-2.0": "licensed under the apache license version 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "cc-by-nc-4.0": "licensed under cc by nc 4 0",
-    "cc-by-4.0": "licensed under a creative commons attribution 4 0 international license",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
-}
+_PERMISSIVE_END = "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD_2 = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_END = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_ISC_END = "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+# Whole licences, then the notices by which files name one, as published, with the method's labels.
+TEMPLATES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement " + _PERMISSIVE_END),
+    ("bsd-2-clause", f"{_BSD_2} {_BSD_END}"),
+    ("bsd-3-clause", f"{_BSD_2} 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {_BSD_END}"),
+    ("isc", f"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies {_ISC_END}"),
+    ("0bsd", f"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted {_ISC_END}"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("mit", "released under the mit license"),
+    ("mit", "licensed under the mit license"),
+    ("bsd", "released under the bsd license"),
+    ("bsd", "use of this source code is governed by a bsd style license"),
+    ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("gpl-2.0", "licensed under the gnu general public license version 2"),
+    ("gpl-3.0", "licensed under the gnu general public license version 3"),
+    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3"),
+    ("mpl-2.0", "licensed under the mozilla public license version 2 0"),
+    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-4.0", "licensed under cc by 4 0"),
+    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
+    ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0"),
+]
 MIN_MATCH, MIN_COVER, MAX_TOKENS = 4, 0.75, 2_000_000
+#: What a word of the text between two matches of a chain costs, in words matched.
+GAP_COST = 0.25
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,cover:double>>"
 
 
@@ -46,17 +70,17 @@ class Automaton:
     next: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    ends: list[dict[int, int]] = field(default_factory=lambda: [{}])  # template -> end position of one occurrence
+    ends: list[list[tuple[int, int]]] = field(default_factory=list)  # (source, position) of each prefix, at its state
+    below: list[list[int]] = field(default_factory=list)  # states that link to a state
 
-    def _state(self, length: int, following: dict[int, int], link: int, ends: dict[int, int]) -> int:
+    def _state(self, length: int, following: dict[int, int], link: int) -> int:
         self.next.append(following)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append(ends)
         return len(self.next) - 1
 
     def _split(self, p: int, q: int, token: int) -> int:
-        clone = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q], dict(self.ends[q]))
+        clone = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
         while p != -1 and self.next[p].get(token) == q:
             self.next[p][token] = clone
             p = self.link[p]
@@ -67,7 +91,7 @@ class Automaton:
         if token in self.next[last]:
             q = self.next[last][token]
             return q if self.length[q] == self.length[last] + 1 else self._split(last, q, token)
-        new, p = self._state(self.length[last] + 1, {}, 0, {}), last
+        new, p = self._state(self.length[last] + 1, {}, 0), last
         while p != -1 and token not in self.next[p]:
             self.next[p][token] = new
             p = self.link[p]
@@ -76,17 +100,30 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, token)
         return new
 
-    def add(self, k: int, tokens: list[int]) -> None:
+    def add(self, tokens: list[int]) -> None:
         last = 0
         for token in tokens:
             last = self.extend(last, token)
-        state = 0
-        for i, token in enumerate(tokens):  # an occurrence of template k ends in every state on its path and their links
-            state = self.next[state][token]
-            s = state
-            while s > 0 and k not in self.ends[s]:
-                self.ends[s][k] = i
-                s = self.link[s]
+
+    def close(self, sources: list[list[int]]) -> None:
+        """Notes where the sources' prefixes end; after the last add."""
+        self.ends, self.below = [[] for _ in self.next], [[] for _ in self.next]
+        for k, tokens in enumerate(sources):
+            state = 0
+            for i, token in enumerate(tokens):
+                state = self.next[state][token]
+                self.ends[state].append((k, i))
+        for state in range(1, len(self.next)):
+            self.below[self.link[state]].append(state)
+
+    def occurrences(self, state: int) -> list[tuple[int, int]]:
+        """(source, last position) of every occurrence of a state's strings: those of all states that link to it."""
+        out, todo = [], [state]
+        while todo:
+            s = todo.pop()
+            out += self.ends[s]
+            todo += self.below[s]
+        return sorted(out)
 
 
 @dataclass
@@ -98,11 +135,13 @@ class Scanner:
     phrases: list[tuple[int, str]]  # number of words, label
     phrase_at: list[list[int]]  # of each state, the phrases it ends with when matched far enough
     templates: list[tuple[str, int]]  # label, number of words
+    found: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # occurrences of states that were met
 
 
-def scanner(phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> Scanner:
-    sources = [*phrases, *templates.values()]
-    texts = texts_of(pa.array(sources))
+def scanner(phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> Scanner:
+    """A scanner for phrases (text to label) and templates (label, text); labels may repeat."""
+    sources = [*phrases, *(text for _, text in templates)]
+    texts = texts_of(pa.array(sources, pa.string()))
     words = words_of(texts, True, NON_ALNUM)
     if len(words.hashes) > MAX_TOKENS:
         raise ValueError(f"templates of more than {MAX_TOKENS} words aren't broadcast")
@@ -110,15 +149,9 @@ def scanner(phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPL
     ids = np.searchsorted(vocabulary, words.hashes).tolist()
     automaton = Automaton()
     lists = [ids[words.first[k] : words.first[k + 1]] for k in range(len(sources))]
-    for k, tokens in enumerate(lists):
-        automaton.add(k, tokens)
-    for k, tokens in enumerate(lists):  # states that were split later need their ends, too
-        state = 0
-        for i, token in enumerate(tokens):
-            state = s = automaton.next[state][token]
-            while s > 0:
-                automaton.ends[s].setdefault(k, i)
-                s = automaton.link[s]
+    for tokens in lists:
+        automaton.add(tokens)
+    automaton.close(lists)
     final: dict[int, list[int]] = {}
     for k, tokens in enumerate(lists[: len(phrases)]):
         state = 0
@@ -133,8 +166,17 @@ def scanner(phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPL
             found += final.get(s, [])
             s = automaton.link[s]
         phrase_at.append(found)
-    labels = [label.removesuffix("-line").removesuffix("-notice") for label in templates]
-    return Scanner(automaton, vocabulary, [(len(lists[k]), label) for k, label in enumerate(phrases.values())], phrase_at, list(zip(labels, map(len, lists[len(phrases) :]), strict=True)))
+    sizes = [len(x) for x in lists[len(phrases) :]]
+    return Scanner(automaton, vocabulary, [(len(lists[k]), label) for k, label in enumerate(phrases.values())], phrase_at, list(zip([label for label, _ in templates], sizes, strict=True)))
+
+
+def templates_of(table: DataFrame, most_characters: int = 8 * MAX_TOKENS) -> list[tuple[str, str]]:
+    """(label, text) of a table of templates, for scanner(); tables beyond a size are refused. Rows with a null are left out."""
+    rows = table.select("label", "text").where("label is not null and text is not null")
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > most_characters:
+        raise ValueError(f"templates of more than {most_characters} characters aren't broadcast")
+    return sorted(map(tuple, rows.collect()))
 
 
 def runs(known: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,28 +211,68 @@ def scan_run(s: Scanner, tokens: list[int]) -> tuple[list[tuple[int, int]], list
                 phrases.append((k, i - s.phrases[k][0] + 1))
         ended = i + 1 == len(stats) or stats[i + 1][2] != length + 1
         if ended and length >= MIN_MATCH:
-            for k, end in s.automaton.ends[state].items():
-                if k >= n_phrases:
-                    matches.append((k - n_phrases, end - length + 1, i - length + 1, length))
+            if state not in s.found:
+                s.found[state] = s.automaton.occurrences(state)
+            matches += [(k - n_phrases, end - length + 1, i - length + 1, length) for k, end in s.found[state] if k >= n_phrases]
     return phrases, matches
 
 
+def chained(matches: list[tuple[int, int, int]], size: int) -> list[tuple[float, int, int, int]]:
+    """(weight, first, last word, words covered) of the heaviest chain that ends at each match (begin, start, words) of a template.
+
+    A match follows another that ends before it both in the template and in the
+    text; a chain weighs the words it matches less GAP_COST for each word of the
+    text between. Prefix maxima by template position (a binary indexed tree)
+    take matches in order of the text, so it is m log(size) for m matches.
+    """
+    best: list[tuple[float, int]] = [(0.0, -1)] * (size + 1)  # weight with the cost of the text before added back, match
+    order = sorted(range(len(matches)), key=lambda m: (matches[m][1], matches[m][0]))
+    done = sorted(range(len(matches)), key=lambda m: (matches[m][1] + matches[m][2], matches[m][0]))
+    out: list[tuple[float, int, int, int]] = [(0.0, 0, 0, 0)] * len(matches)
+    at = 0
+    for m in order:
+        begin, start, words = matches[m]
+        while at < len(done) and matches[done[at]][1] + matches[done[at]][2] <= start:
+            p = done[at]
+            stop, i = matches[p][1] + matches[p][2], matches[p][0] + matches[p][2]
+            value = (out[p][0] + GAP_COST * stop, p)
+            while i <= size:
+                if best[i][1] < 0 or value[0] > best[i][0]:
+                    best[i] = value
+                i += i & -i
+            at += 1
+        before, i = (0.0, -1), begin
+        while i > 0:
+            if best[i][1] >= 0 and (before[1] < 0 or best[i][0] > before[0]):
+                before = best[i]
+            i -= i & -i
+        more = before[0] - GAP_COST * start if before[1] >= 0 else 0.0
+        if more > 0:
+            out[m] = (words + more, out[before[1]][1], start + words - 1, words + out[before[1]][3])
+        else:
+            out[m] = (float(words), start, start + words - 1, words)
+    return out
+
+
 def chains(s: Scanner, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
-    """Chain each template's matches that follow each other, in it and in the text
-    (within its length), to spans (label, first, last word, share of it covered)."""
-    out = []
-    for k in {m[0] for m in matches}:
+    """Spans (label, first, last word, share covered) of templates: their heaviest chains that
+    cover MIN_COVER of them, the heavier and then the earlier first, without those that overlap one before."""
+    by_template: dict[int, list[tuple[int, int, int]]] = {}
+    for k, begin, start, words in matches:
+        by_template.setdefault(k, []).append((begin, start, words))
+    out = set()
+    for k, own in by_template.items():
         label, size = s.templates[k]
-        open_: list[list[int]] = []  # first, last, end in the template, words covered
-        for _, begin, start, length in sorted((m for m in matches if m[0] == k), key=lambda m: m[2]):
-            for c in reversed(open_):
-                if begin >= c[2] and 0 < start - c[1] <= size:
-                    c[1], c[2], c[3] = start + length - 1, begin + length, c[3] + length
-                    break
-            else:
-                open_.append([start, start + length - 1, begin + length, length])
-        out += [(label, c[0], c[1], c[3] / size) for c in open_ if c[3] / size >= MIN_COVER]
-    return sorted(out, key=lambda x: (x[1], x[0]))
+        if len(own) == 1 and own[0][2] < MIN_COVER * size:
+            continue
+        found = sorted(((-w, first, last, n) for w, first, last, n in chained(own, size) if n >= MIN_COVER * size))
+        taken: list[tuple[int, int]] = []
+        for _, first, last, n in found:
+            i = bisect_left(taken, (first, first))
+            if (i == len(taken) or taken[i][0] > last) and (i == 0 or taken[i - 1][1] < first):
+                insort(taken, (first, last))
+                out.add((label, first, last, n / size))
+    return sorted(out, key=lambda x: (x[1], x[0], x[2], x[3]))
 
 
 def scan(docs: DataFrame, s: Scanner | None = None) -> DataFrame:
@@ -199,7 +281,8 @@ def scan(docs: DataFrame, s: Scanner | None = None) -> DataFrame:
     score is the largest share of a template that a span covers, or 1 where a
     base phrase stands; 0 without either. Null and empty texts have no words,
     null first_word and last_word and empty labels. Whole texts of any length
-    are streamed; repeated rows each give a row; other columns aren't read.
+    are streamed; repeated rows each give a row, rows without doc_id, too; other
+    columns aren't read. An empty table gives no rows.
     """
     s = s or scanner()
 
