@@ -19,28 +19,33 @@ ORACLE_SQL = None
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: what language ID calls 'und' (null, or without a letter) goes."""
+    """Documents predicted to be in a learned language.
+
+    Null and letterless texts go, and those that share no n-gram with any
+    profile; if no row is labelled, all texts with a letter stay. An empty table
+    and one without labels are as any other; ids may be null or repeat.
+    """
     return language_id.in_a_language(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the smallest doc_id."""
+    """Of equal texts, the smallest doc_id; without one, all rows of the text stay, and so do rows that repeat the kept one."""
     return exact_dedup.without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the smallest doc_id."""
+    """Of each group of near-duplicates, the smallest doc_id; rows without one stay, and so do rows that repeat the kept one."""
     return near_dedup.one_of_each(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; each row is judged for itself, with or without an id."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left."""
-    return bpe.round_trip(docs, tokenizer_path())
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of what is left: a row for each row, null texts without tokens."""
+    return bpe.round_trip(docs, tokenizer_path(), keep_ids=True)
 
 
 STAGES = [("language_id", languages), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", clean), ("bpe", encoded)]
