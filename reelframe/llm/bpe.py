@@ -241,7 +241,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, text of rows (doc_id, ids); null ids give the empty text."""
+    """doc_id, text of rows (doc_id, ids); null ids give the empty text.
+
+    Repeated rows each give a row, rows without doc_id, too; an empty table
+    gives none; other columns aren't read.
+    """
 
     def run(batches):
         for batch in batches:
@@ -250,20 +254,30 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass.
+def round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, if kept): encode and decode in one pass.
 
-    The ids and decoded texts never leave the task that made them.
+    Null and empty texts have no tokens and the hashes of the empty string.
+    Repeated rows each give a row, rows without doc_id, too; an empty table
+    gives none; only doc_id and text are read. The decoded texts never leave
+    the task that made them.
     """
     from hashlib import sha256
 
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+
     def run(batches):
         for batch in slices(batches, 1 << 20):
             own, rows = codec(path), []
-            for x in own.encode(texts_of(batch.column(1))):
+            encoded = own.encode(texts_of(batch.column(1)))
+            for x in encoded:
                 ids = x.tolist()
                 rows.append((len(ids), sha256(own.joined(ids).encode()).hexdigest(), sha256(own.decode(ids).encode()).hexdigest()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            if keep_ids:
+                at = np.concatenate([[0], np.cumsum([len(x) for x in encoded])]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *encoded]), pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
