@@ -23,6 +23,7 @@ from reelframe.sources.containers import Malformed, flac
 
 # PCM codec to sample format and NumPy type.
 PCM = {"pcm_u8": ("u8", "u1"), "pcm_s16le": ("s16", "<i2"), "pcm_s16be": ("s16", ">i2"), "pcm_s32le": ("s32", "<i4"), "pcm_s32be": ("s32", ">i4"), "pcm_f32le": ("f32", "<f4"), "pcm_f64le": ("f64", "<f8"), "pcm_f32be": ("f32", ">f4"), "pcm_f64be": ("f64", ">f8")}
+BATCH_BYTES = 4 << 20
 BYTES = {name: bpp for name, _, bpp, *_ in PIXEL_FORMATS}
 
 
@@ -35,7 +36,7 @@ def pcm(codec: str, payload: bytes, rate: int, channels: int) -> dict:
 
     24-bit samples become the top three bytes' worth of 32-bit ones, unshifted, with bits_per_sample 24.
     """
-    if not payload:
+    if not payload or not channels or channels < 0:
         raise Malformed(4005)
     if codec in ("pcm_s24le", "pcm_s24be"):
         n = len(payload) // (3 * channels)
@@ -91,25 +92,43 @@ def frames_of(codec: str | None, payload: bytes, pts: int, track: dict):
         raise Malformed(4001)
 
 
+def _bytes(audio: dict | None, pic: dict | None) -> int:
+    return sum(map(len, audio["planes"])) if audio else sum(len(p["data"]) for p in pic["planes"]) if pic else 0
+
+
+def decoded(batches, schema: pa.Schema):
+    """Batches of frames, each of about BATCH_BYTES or one frame, of batches of packets with their tracks' columns."""
+    rows, held = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            p = batch.slice(i, 1).to_pylist()[0]
+            base = {k: p[k] for k in ("path", "stream_index", "seq", "pts", "dts")}
+            try:
+                if p["error_code"]:
+                    raise Malformed(p["error_code"])
+                k = -1
+                for k, (pts, audio, pic) in enumerate(frames_of(p["codec"], bytes(p["payload"] or b""), p["pts"], p)):
+                    rows.append(base | {"sub_seq": k, "pts": pts, "audio": audio, "picture": pic, "error_code": 0})
+                    held += _bytes(audio, pic)
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
+                if k < 0:  # a picture file without a picture
+                    raise Malformed(4005)
+            except Malformed as e:
+                rows.append(base | {"sub_seq": 0, "audio": None, "picture": None, "error_code": e.code})
+            except Exception:  # whatever a broken packet does to its decoder, the other packets go on
+                rows.append(base | {"sub_seq": 0, "audio": None, "picture": None, "error_code": 4005})
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
 def decode(packets: DataFrame, tracks: DataFrame) -> DataFrame:
     """The frames of packets, by their tracks' codecs. A packet that fails gives a row with error_code and nothing else."""
     schema = to_arrow_schema(schemas.struct(schemas.FRAMES))
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for p in batch.to_pylist():
-                base = {k: p[k] for k in ("path", "stream_index", "seq", "pts", "dts")}
-                try:
-                    if p["error_code"]:
-                        raise Malformed(p["error_code"])
-                    for k, (pts, audio, pic) in enumerate(frames_of(p["codec"], bytes(p["payload"] or b""), p["pts"], p)):
-                        rows.append(base | {"sub_seq": k, "pts": pts, "audio": audio, "picture": pic, "error_code": 0})
-                except Malformed as e:
-                    rows.append(base | {"sub_seq": 0, "audio": None, "picture": None, "error_code": e.code})
-                except (IndexError, ValueError):
-                    rows.append(base | {"sub_seq": 0, "audio": None, "picture": None, "error_code": 4005})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+        yield from decoded(batches, schema)
 
     t = tracks.select(F.col("path").alias("t_path"), F.col("index").alias("t_index"), "codec", "extradata", F.col("audio.sample_rate").alias("sample_rate"), F.col("audio.channels").alias("channels"))
     own = packets.join(t, (F.col("path") == F.col("t_path")) & (F.col("stream_index") == F.col("t_index")), "left").drop("t_path", "t_index", "flags", "pos")

@@ -10,6 +10,8 @@ from reelframe.sources.containers import Malformed, big, u16, u32
 from reelframe.sources.containers.images import gif_blocks, tiff_fields
 
 Picture = tuple[str, np.ndarray]
+#: Larger pictures aren't decoded: a few bytes may claim any size.
+MAX_PIXELS = 1 << 26
 
 
 def _need(ok: bool, code: int = 4005) -> None:
@@ -17,6 +19,12 @@ def _need(ok: bool, code: int = 4005) -> None:
         raise Malformed(code)
 
 
+def _bounded(width: int, height: int) -> None:
+    """A picture that has pixels, and not too many for a task's memory."""
+    _need(width > 0 and height > 0)
+    _need(width * height <= MAX_PIXELS, 4002)
+
+
 def opaque(rgb: np.ndarray) -> np.ndarray:
     return np.concatenate([rgb, np.full((*rgb.shape[:2], 1), 255, rgb.dtype)], 2)
 
@@ -47,6 +55,8 @@ def bmp(b: bytes, compat: bool = False) -> Picture:
     tall = int.from_bytes(b[22:26], "little", signed=True)
     bits, compression, used = u16(b, 28), u32(b, 30), u32(b, 46)
     height = abs(tall)
+    _bounded(width, height)
+    _need(bits in (1, 4, 8, 16, 24, 32), 4002)
     palette = np.zeros((0, 4), np.uint8)
     if bits <= 8:
         raw = b[14 + head : 14 + head + 4 * (used or 1 << bits)]
@@ -108,6 +118,7 @@ def tga(b: bytes) -> Picture:
     _need(len(b) >= 18, 3003)
     kind, width, height, depth = b[2], u16(b, 12), u16(b, 14), b[16]
     _need(kind in (2, 3, 10, 11) and depth in (8, 15, 16, 24, 32), 4002)
+    _bounded(width, height)
     at, size = 18 + b[0] + (u16(b, 5) * ((b[7] + 7) // 8) if b[1] else 0), (depth + 7) // 8
     n = width * height
     if kind < 8:
@@ -182,11 +193,12 @@ def png(b: bytes) -> Picture:
         at += 12 + n
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
     _need(channels is not None and depth in (1, 2, 4, 8, 16) and not laced, 4002)
+    _bounded(width, height)
+    row = (width * channels * depth + 7) // 8
     try:
-        raw = zlib.decompress(b"".join(data))
+        raw = zlib.decompressobj().decompress(b"".join(data), height * (row + 1))
     except zlib.error:
         raise Malformed(4005) from None
-    row = (width * channels * depth + 7) // 8
     lines = _unfiltered(raw, height, row, max(1, channels * depth // 8))
     if depth == 16:
         x = lines[:, ::2].reshape(height, width, channels)
@@ -203,13 +215,16 @@ def png(b: bytes) -> Picture:
     return "rgba", opaque(x) if colour == 2 else x
 
 
-def lzw(data: bytes, bits: int) -> bytes:
-    """GIF's LZW: codes of growing width, the least significant bit first."""
+def lzw(data: bytes, bits: int, most: int) -> bytes:
+    """GIF's LZW: codes of growing width, the least significant bit first; what follows `most` bytes isn't read."""
+    _need(1 <= bits <= 11)
     clear, end = 1 << bits, (1 << bits) + 1
     first = [bytes([k]) for k in range(clear)] + [b"", b""]
     table, width, last, out = list(first), bits + 1, None, []
-    value = have = 0
+    value = have = made = 0
     for byte in data:
+        if made >= most:
+            break
         value |= byte << have
         have += 8
         while have >= width:
@@ -227,25 +242,28 @@ def lzw(data: bytes, bits: int) -> bytes:
                 if len(table) < 4096:
                     table.append(last + entry[:1])
             out.append(entry)
+            made += len(entry)
             last = entry
             if len(table) == 1 << width and width < 12:
                 width += 1
     return b"".join(out)
 
 
-def gif(b: bytes) -> list[np.ndarray]:
-    """The canvas of each frame, cleared before it; clear pixels keep the background's zeros."""
+def gif(b: bytes):
+    """The canvas of each frame in turn, cleared before it; clear pixels keep the background's zeros."""
     _need(b[:4] == b"GIF8", 3003)
     width, height = u16(b, 6), u16(b, 8)
+    _bounded(width, height)
     colours = lambda at, flags: opaque(np.frombuffer(b, np.uint8, 3 << (flags & 7) + 1, at).reshape(1, -1, 3))[0]
     shared = colours(13, b[10]) if b[10] & 128 else np.zeros((0, 4), np.uint8)
-    out, clear = [], None
+    clear = None
     for kind, at in gif_blocks(b):
         if kind == 0x21:
             if b[at + 1] == 0xF9:
                 clear = b[at + 6] if b[at + 3] & 1 else None
             continue
         x, y, w, h, flags = u16(b, at + 1), u16(b, at + 3), u16(b, at + 5), u16(b, at + 7), b[at + 9]
+        _bounded(w, h)
         own, data = at + 10, b""
         palette = colours(own, flags) if flags & 128 else shared
         own += len(palette) * 3 if flags & 128 else 0
@@ -253,7 +271,7 @@ def gif(b: bytes) -> list[np.ndarray]:
         while own < len(b) and b[own]:
             data += b[own + 1 : own + 1 + b[own]]
             own += b[own] + 1
-        index = np.frombuffer(lzw(data, bits).ljust(w * h, b"\0")[: w * h], np.uint8).reshape(h, w)
+        index = np.frombuffer(lzw(data, bits, w * h).ljust(w * h, b"\0")[: w * h], np.uint8).reshape(h, w)
         if flags & 64:  # four passes of rows
             order = [r for begin, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(begin, h, step)]
             index = index[np.argsort(order)]
@@ -263,9 +281,8 @@ def gif(b: bytes) -> list[np.ndarray]:
         canvas = np.zeros((height, width, 4), np.uint8)
         part = pixels[: max(0, height - y), : max(0, width - x)]
         canvas[y : y + part.shape[0], x : x + part.shape[1]] = part
-        out.append(canvas)
+        yield canvas
         clear = None
-    return out
 
 
 def packbits(data: bytes, size: int) -> bytes:
@@ -283,7 +300,8 @@ def tiff(b: bytes) -> Picture:
     order, f = tiff_fields(b)
     one = lambda tag, default: f.get(tag, [default])[0]
     width, height, bits, channels, kind, photo = one(256, 0), one(257, 0), one(258, 1), one(277, 1), one(259, 1), one(262, 0)
-    _need(bits in (8, 16) and kind in (1, 32773) and photo in (0, 1, 2, 5) and one(284, 1) == 1 and width > 0 and height > 0, 4002)
+    _need(bits in (8, 16) and kind in (1, 32773) and photo in (0, 1, 2, 5) and one(284, 1) == 1, 4002)
+    _bounded(width, height)
     rows, row = one(278, height), width * channels * bits // 8
     raw = b""
     for k, (at, n) in enumerate(zip(f.get(273, []), f.get(279, []), strict=True)):

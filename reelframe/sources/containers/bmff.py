@@ -9,6 +9,7 @@ from reelframe.functions.bitstream import avc_parameter_sets, hevc_parameter_set
 from reelframe.sources.containers import Malformed, base, big, packet, track
 
 CODECS = dict(SAMPLE_ENTRIES)
+MAX_DEPTH = 64
 # Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"dinf", b"mvex", b"ilst", b"meta"}
 # Sampling rates and channel counts of AudioSpecificConfig, by index.
@@ -23,10 +24,13 @@ def boxes(b: bytes, at: int = 0, end: int | None = None, depth: int = 0):
     """(depth, type, begin of the body, end) of each box, containers before what they hold.
 
     Size 1 is followed by a 64-bit size, size 0 lasts to the end; a smaller size
-    than the header's is malformed.
+    than the header's, and boxes nested deeper than MAX_DEPTH, are malformed.
     """
-    end = len(b) if end is None else end
-    while at + 8 <= end:
+    rest = [(at, len(b) if end is None else end)]  # what is left of each box that is open
+    while rest:
+        at, end = rest.pop()
+        if at + 8 > end:
+            continue
         size, kind, head = big(b, at, 4), b[at + 4 : at + 8], 8
         if size == 1:
             size, head = big(b, at + 8, 8), 16
@@ -35,10 +39,12 @@ def boxes(b: bytes, at: int = 0, end: int | None = None, depth: int = 0):
         if size < head:
             raise Malformed(3004)
         stop = min(at + size, end)
-        yield depth, kind, at + head, stop
+        yield depth + len(rest), kind, at + head, stop
+        rest.append((stop, end))
         if kind in CONTAINERS:
-            yield from boxes(b, at + head + (4 if kind == b"meta" else 0), stop, depth + 1)
-        at += size
+            if len(rest) > MAX_DEPTH:
+                raise Malformed(3004)
+            rest.append((at + head + (4 if kind == b"meta" else 0), stop))
 
 
 def _table(b: bytes, at: int, columns: int, width: int = 4) -> np.ndarray:
@@ -54,8 +60,8 @@ def sizes(b: bytes, kind: bytes, at: int) -> np.ndarray:
     """Sample sizes: one for all, one each, or packed in 4, 8 or 16 bits."""
     n = big(b, at + 8, 4)
     if kind == b"stsz":
-        one = big(b, at + 4, 4)
-        return np.full(n, one, np.int64) if one else np.frombuffer(b[at + 12 : at + 12 + 4 * n], ">u4").astype(np.int64)
+        one = big(b, at + 4, 4)  # of more samples than that, none has bytes in the file
+        return np.full(min(n, len(b) // one + 1), one, np.int64) if one else np.frombuffer(b[at + 12 : at + 12 + 4 * n], ">u4").astype(np.int64)
     bits = b[at + 7]
     raw = np.frombuffer(b[at + 12 : at + 12 + (n * bits + 7) // 8], np.uint8)
     if bits == 4:
@@ -65,20 +71,25 @@ def sizes(b: bytes, kind: bytes, at: int) -> np.ndarray:
 
 def expand(runs: np.ndarray, n: int) -> np.ndarray:
     """n values of (count, value) runs; empty runs are skipped and missing values are 0."""
-    out = np.repeat(runs[:, 1], runs[:, 0])[:n]
+    out = np.repeat(runs[:, 1], clipped(runs[:, 0], n))
     return np.concatenate([out, np.zeros(n - len(out), np.int64)])
 
 
+def clipped(counts: np.ndarray, n: int) -> np.ndarray:
+    """counts cut so that they add up to at most n, whatever a broken table says."""
+    return np.diff(np.minimum(np.cumsum(np.minimum(counts, n)), n), prepend=0)
+
+
 def samples(t: dict) -> dict[str, np.ndarray]:
     """size, pos, dts, pts, duration and key of the samples of a track's tables; none if a table is missing."""
     if any(not len(t.get(k, ())) for k in ("sizes", "chunks", "stsc", "stts")):
         return {k: np.zeros(0, np.int64) for k in ("size", "pos", "dts", "pts", "duration", "key")}
-    first, per = t["stsc"][:, 0] - 1, t["stsc"][:, 1]
+    first, per = np.maximum(t["stsc"][:, 0] - 1, 0), t["stsc"][:, 1]
     ends = np.append(first[1:], len(t["chunks"]))
     in_chunk = np.zeros(len(t["chunks"]), np.int64)
     for a, z, k in zip(first, ends, per, strict=True):
         in_chunk[a:z] = k
-    chunk = np.repeat(np.arange(len(in_chunk)), in_chunk)[: len(t["sizes"])]
+    chunk = np.repeat(np.arange(len(in_chunk)), clipped(in_chunk, len(t["sizes"])))
     size = t["sizes"][: len(chunk)]
     total = np.concatenate([[0], np.cumsum(size)])[:-1]
     new = np.concatenate([[True], chunk[1:] != chunk[:-1]])

@@ -53,7 +53,7 @@ def _float(b: bytes, node: dict, name: int, default: float = 0.0) -> float:
     if name not in node:
         return default
     raw = b[slice(*node[name][0])]
-    return struct.unpack(">f" if len(raw) == 4 else ">d", raw)[0] if raw else default
+    return struct.unpack(">f" if len(raw) == 4 else ">d", raw)[0] if len(raw) in (4, 8) else default
 
 
 def laces(b: bytes, at: int, end: int, mode: int) -> list[tuple[int, int]]:
