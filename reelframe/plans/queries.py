@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelframe import catalog
-from reelframe.functions import audio, bitstream, bytesx, detect, dictionary, pixels, timebase
+from reelframe.functions import audio, bytesx, detect, dictionary, pixels, timebase
 from reelframe.operators import errors, muxing, playback, registry, sampletable, seek
 from reelframe.sources import headers
 
@@ -165,13 +165,6 @@ def plane_copy(spark, sf_dir):
     return read(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.hex(bytesx.plane_copy(F.encode("text", "UTF-8"), 8, 5, 3)).alias("packed"))
 
 
-@query()
-def checksums(spark, sf_dir):
-    """CRC-8, CRC-16 and FNV-1a of whole texts; SQL has none of these, so tests hold their check values."""
-    b = F.encode("text", "UTF-8")
-    return read(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", bitstream.crc8_of()(b).alias("crc8"), bitstream.crc16_of()(b).alias("crc16"), bitstream.fnv1a64_of()(b).alias("fnv1a64"))
-
-
 # --- catalogue ---------------------------------------------------------------
 
 #: What the events ask for.

@@ -290,3 +290,78 @@ def bmff(b: bytes):
         if width:
             payload = to_annexb(payload, width, t["entry"]["extradata"], key)
         yield packet(seq, pos, payload, stream_index=k, pts=int(s["pts"][i]), dts=int(s["dts"][i]), duration=int(s["duration"][i]), is_keyframe=key)
+
+
+# Sample entries that writing uses where reading knows several.
+ENTRIES = {codec: kind for kind, codec in reversed(SAMPLE_ENTRIES)}
+
+
+def _box(kind: bytes, *parts: bytes) -> bytes:
+    body = b"".join(parts)
+    return (len(body) + 8).to_bytes(4, "big") + kind + body
+
+
+def _full(kind: bytes, *parts: bytes, version: int = 0) -> bytes:
+    return _box(kind, bytes([version, 0, 0, 0]), *parts)
+
+
+def _rows(kind: bytes, rows, version: int = 0) -> bytes:
+    x = np.array(rows, np.int64).reshape(len(rows), -1)
+    return _full(kind, len(x).to_bytes(4, "big"), x.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 4:].tobytes(), version=version)
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """(count, value) of each run of equal values."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return np.stack([np.diff(np.append(first, len(values))), values[first]], 1)
+
+
+def write(tracks: list[dict], packets: list[tuple[int, int, int, bool, bytes]]) -> bytes:
+    """An ISO file of tracks (type, codec, scale, audio or video) and packets (track index, pts, duration, keyframe, payload) in decoding order.
+
+    Packets lie in the order given; neighbours of one track are a chunk. Decoding
+    times are the running sums of durations from 0, and what a pts differs from
+    them is its composition offset. Tracks other than audio and video, without a
+    packet or of a codec without a sample entry raise Malformed(1001), a packet
+    of an undeclared track Malformed(3007), a file beyond 4 GB Malformed(1001).
+    """
+    head = _box(b"ftyp", b"isom", bytes(4), b"isom")
+    stream = np.array([p[0] for p in packets], np.int64)
+    if len(stream) and not 0 <= stream.min() <= stream.max() < len(tracks):
+        raise Malformed(3007)
+    size = np.array([len(p[4]) for p in packets], np.int64)
+    pos = len(head) + 8 + np.concatenate([[0], np.cumsum(size)])[:-1]
+    if pos[-1:].sum() + size[-1:].sum() >= 1 << 32:
+        raise Malformed(1001)
+    new = np.concatenate([[True], stream[1:] != stream[:-1]])
+    moov = _full(b"mvhd", bytes(96))
+    for k, t in enumerate(tracks):
+        own = np.flatnonzero(stream == k)
+        entry = ENTRIES.get(t["codec"])
+        if t["type"] not in ("audio", "video") or entry is None or not len(own):
+            raise Malformed(1001)
+        duration = np.array([packets[i][2] for i in own], np.int64)
+        offset = np.array([packets[i][1] for i in own], np.int64) - (np.cumsum(duration) - duration)
+        keys = np.flatnonzero([packets[i][3] for i in own]) + 1
+        starts = np.flatnonzero(new[own])
+        per = np.diff(np.append(starts, len(own)))
+        changed = np.flatnonzero(np.concatenate([[True], per[1:] != per[:-1]]))
+        tables = [
+            _rows(b"stts", _runs(duration)), _rows(b"stsc", np.stack([changed + 1, per[changed], np.ones(len(changed), np.int64)], 1)), _rows(b"stco", pos[own[starts]]),
+            _full(b"stsz", bytes(4), len(own).to_bytes(4, "big"), size[own].astype(">u4").tobytes()),
+        ]
+        if offset.any():
+            tables.append(_rows(b"ctts", _runs(offset), version=1))
+        if len(keys) < len(own):
+            tables.append(_rows(b"stss", keys))
+        if t["type"] == "video":
+            shape = bytes(16) + t["video"]["width"].to_bytes(2, "big") + t["video"]["height"].to_bytes(2, "big") + bytes(50)
+        else:
+            a = t["audio"]
+            shape = bytes(8) + a["channels"].to_bytes(2, "big") + (a.get("bit_depth") or 16).to_bytes(2, "big") + bytes(4) + (a["sample_rate"] << 16).to_bytes(4, "big")
+        stsd = _full(b"stsd", (1).to_bytes(4, "big"), _box(entry.encode("latin-1"), bytes(6), b"\0\1", shape))
+        mdhd = _full(b"mdhd", bytes(8), t["scale"].to_bytes(4, "big"), int(duration.sum()).to_bytes(4, "big"), bytes(4))
+        hdlr = _full(b"hdlr", bytes(4), b"vide" if t["type"] == "video" else b"soun", bytes(12))
+        tkhd = _full(b"tkhd", bytes(8), (k + 1).to_bytes(4, "big"), bytes(68))
+        moov += _box(b"trak", tkhd, _box(b"mdia", mdhd, hdlr, _box(b"minf", _box(b"stbl", stsd, *tables))))
+    return head + _box(b"mdat", *(p[4] for p in packets)) + _box(b"moov", moov)

@@ -8,14 +8,18 @@ machines mount. An object store takes the same rows by any Spark writer.
 from __future__ import annotations
 
 import os
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from reelframe import schemas
 from reelframe.functions.timebase import mux_nanoseconds
-from reelframe.sources.containers import Malformed, matroska
+from reelframe.sources.containers import Malformed, bmff, flac, matroska
 
 FILES = "path string, content binary, error_code int"
 
@@ -85,6 +89,87 @@ def mux_wav(packets: DataFrame, tracks: DataFrame) -> DataFrame:
     return rows.groupBy("path").applyInArrow(run, FILES)
 
 
+PCM_BITS = {"pcm_u8": 8, "pcm_s16le": 16, "pcm_s24le": 24}
+
+
+def mux_flac(packets: DataFrame, tracks: DataFrame, suffix: str = ".flac") -> DataFrame:
+    """One FLAC file for each path whose track 0 is PCM of 8, 16 or 24 bits; other paths are error rows."""
+    t = tracks.where("index = 0").select(F.col("path").alias("t_path"), "codec", F.col("audio.sample_rate").alias("rate"), F.col("audio.channels").alias("channels"))
+    rows = packets.where("stream_index = 0").join(t, F.col("path") == F.col("t_path"), "left").select("path", "seq", "payload", "codec", "rate", "channels")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        first = table.slice(0, 1).to_pylist()[0]
+        bits, channels = PCM_BITS.get(first["codec"]), first["channels"]
+        if bits is None or not channels:
+            return _one(first["path"] + suffix, None, 3002)
+        raw = np.frombuffer(b"".join(x or b"" for x in table.column("payload").to_pylist()), np.uint8)
+        raw = raw[: len(raw) // (channels * bits // 8) * (channels * bits // 8)].reshape(-1, bits // 8).astype(np.int32)
+        x = sum(raw[:, k] << 8 * k for k in range(bits // 8))
+        x = x - 128 if bits == 8 else (x ^ 1 << bits - 1) - (1 << bits - 1)
+        try:
+            return _one(first["path"] + suffix, flac.write(x.reshape(-1, channels).T, first["rate"], bits), 0)
+        except Malformed as e:
+            return _one(first["path"] + suffix, None, e.code)
+
+    return rows.groupBy("path").applyInArrow(run, FILES)
+
+
+def mux_mp4(packets: DataFrame, tracks: DataFrame, suffix: str = ".mp4") -> DataFrame:
+    """One ISO file for each path, packets in order of seq; times are in ticks of each track's time base, which must be a fraction of 1.
+
+    Tracks that can't be written and packets of undeclared tracks make the file an error row.
+    """
+    t = tracks.select(F.col("path").alias("t_path"), "index", F.struct("type", "codec", "audio", "video", F.col("time_base.den").alias("scale"), F.col("time_base.num").alias("num")).alias("track"))
+    rows = packets.join(t, (F.col("path") == F.col("t_path")) & (F.col("stream_index") == F.col("index")), "left").select("path", "seq", "stream_index", "pts", "duration", "is_keyframe", "payload", "track")
+
+    def run(table: pa.Table) -> pa.Table:
+        items = table.sort_by("seq").to_pylist()
+        path = items[0]["path"] + suffix
+        known = {p["stream_index"]: p["track"] for p in items if p["track"]}
+        order = sorted(known)
+        try:
+            if len(known) < len({p["stream_index"] for p in items}):
+                raise Malformed(3007)
+            if any(x["num"] != 1 or not x["scale"] for x in known.values()):
+                raise Malformed(1001)
+            return _one(path, bmff.write([known[k] for k in order], [(order.index(p["stream_index"]), p["pts"], p["duration"], bool(p["is_keyframe"]), bytes(p["payload"] or b"")) for p in items]), 0)
+        except Malformed as e:
+            return _one(path, None, e.code)
+
+    return rows.groupBy("path").applyInArrow(run, FILES)
+
+
+def png_bytes(data: bytes, width: int, height: int, channels: int) -> bytes:
+    """A PNG file of packed 8-bit gray (1 channel) or RGBA (4) rows, without filters."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+
+    rows = np.zeros((height, width * channels + 1), np.uint8)
+    rows[:, 1:] = np.frombuffer(data, np.uint8, width * height * channels).reshape(height, -1)
+    header = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([8, 6 if channels == 4 else 0, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def mux_png(frames: DataFrame, suffix: str = ".png") -> DataFrame:
+    """One PNG file for each picture (path, stream, seq, sub_seq in its name) of 8-bit gray or RGBA; other frames are error rows."""
+    schema = to_arrow_schema(schemas.struct(FILES))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p = batch.slice(i, 1).to_pylist()[0]
+                pic, content = p["picture"], None
+                channels = {"gray8": 1, "rgba": 4}.get(pic["pixel_format"]) if pic else None
+                if channels and len(pic["planes"][0]["data"]) == pic["width"] * pic["height"] * channels:
+                    content = png_bytes(pic["planes"][0]["data"], pic["width"], pic["height"], channels)
+                name = f"{p['path']}-{p['stream_index']}-{p['seq']}-{p['sub_seq']}{suffix}"
+                yield pa.RecordBatch.from_pylist([{"path": name, "content": content, "error_code": 0 if content else p["error_code"] or 1001}], schema)
+
+    return frames.select("path", "stream_index", "seq", "sub_seq", "picture", "error_code").mapInArrow(run, FILES)
+
+
 def mux_matroska(packets: DataFrame, tracks: DataFrame, suffix: str = ".mkv") -> DataFrame:
     """One Matroska file for each path. Packets without a time, or of an undeclared track, make it an error row."""
     t = tracks.where(F.col("type").isin("audio", "video")).select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import bitstream, detect, dictionary, timebase
 from reelframe.operators import errors, sampletable, seek
-from reelframe.plans import queries
+from reelframe.plans import files, queries  # noqa: F401 - files registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
