@@ -9,64 +9,62 @@ INT_PREFIX = r"^(-?[0-9]+)"
 FLOAT_PREFIX = r"^(-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
 
 
-def kind(v: Column) -> Column:
-    """The VARIANT's type: int (any whole number), double, string, boolean, array, object or null."""
-    name = F.regexp_replace(F.schema_of_variant(v), r"[(<].*$", "")
-    return F.when(v.isNull(), None).when(name.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int").when(name.isin("DOUBLE", "FLOAT", "DECIMAL"), "double").when(name == "VOID", "null").otherwise(F.lower(name))
+# The first letters of a VARIANT's schema to the kind of value.
+KINDS = {"BIG": "int", "INT": "int", "SMA": "int", "TIN": "int", "DOU": "double", "FLO": "double", "DEC": "double", "STR": "string", "BOO": "boolean", "VOI": "null", "ARR": "array", "OBJ": "object"}
 
 
-def _to_int(v: Column, k: Column) -> Column:
-    """A whole number; doubles truncate, strings give their numeric prefix, booleans 0 or 1, the rest null."""
-    text = F.try_variant_get(v, "$", "string")
-    return (
-        F.when(k == "int", F.try_variant_get(v, "$", "long"))
-        .when(k == "double", F.try_variant_get(v, "$", "double").try_cast("long"))
-        .when(k == "string", F.regexp_extract(text, INT_PREFIX, 1).try_cast("long"))
-        .when(k == "boolean", F.try_variant_get(v, "$", "boolean").cast("long"))
-    )
+def kind(v: Column) -> Column:
+    """The VARIANT's kind: int (any whole number), double, string, boolean, array, object, null or other.
 
+    One look into a constant map, so the schema is read once.
+    """
+    names = F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))
+    return F.when(v.isNotNull(), F.coalesce(F.try_element_at(names, F.substring(F.schema_of_variant(v), 1, 3)), F.lit("other")))
 
-def _to_double(v: Column, k: Column) -> Column:
-    """As to_int, as double; an object with num and den is their quotient (0 if den is 0)."""
-    text = F.try_variant_get(v, "$", "string")
-    num, den = F.try_variant_get(v, "$.num", "double"), F.try_variant_get(v, "$.den", "double")
-    return (
-        F.when(k.isin("int", "double"), F.try_variant_get(v, "$", "double"))
-        .when(k == "string", F.regexp_extract(text, FLOAT_PREFIX, 1).try_cast("double"))
-        .when(k == "boolean", F.try_variant_get(v, "$", "boolean").cast("double"))
-        .when(num.isNotNull() & den.isNotNull(), F.when(den == 0, 0.0).otherwise(num / F.when(den != 0, den)))
-    )
 
+def _schema(v: Column) -> Column:
+    return F.schema_of_variant(v)
 
-def _to_text(v: Column, k: Column) -> Column:
-    """Doubles with six decimals, booleans as true or false, rationals as n/d, the rest unsupported; null is empty."""
-    num, den = F.try_variant_get(v, "$.num", "long"), F.try_variant_get(v, "$.den", "long")
-    return (
-        F.when(k.isNull() | (k == "null"), "")
-        .when(k == "int", F.try_variant_get(v, "$", "long").cast("string"))
-        .when(k == "double", F.format_string("%.6f", F.try_variant_get(v, "$", "double")))
-        .when(k == "string", F.try_variant_get(v, "$", "string"))
-        .when(k == "boolean", F.try_variant_get(v, "$", "boolean").cast("string"))
-        .when(num.isNotNull() & den.isNotNull(), F.concat(num.cast("string"), F.lit("/"), den.cast("string")))
-        .otherwise("<unsupported type>")
-    )
+
+def _is_string(v: Column) -> Column:
+    return _schema(v) == "STRING"
 
 
-def _once(v: Column, f) -> Column:
-    """f of a VARIANT and its kind, each evaluated once."""
-    return F.get(F.transform(F.array(F.struct(v.alias("v"), kind(v).alias("k"))), lambda x: f(x["v"], x["k"])), 0)
+def _rational(v: Column, kind: str) -> tuple[Column, Column]:
+    return F.try_variant_get(v, "$.num", kind), F.try_variant_get(v, "$.den", kind)
 
 
 def to_int(v: Column) -> Column:
-    return _once(v, _to_int)
+    """A whole number; doubles truncate, strings give their numeric prefix, booleans 0 or 1, the rest null.
+
+    These functions ask a VARIANT's schema as little as they can: expressions of
+    many branches make methods that the JVM doesn't compile.
+    """
+    text = F.try_variant_get(v, "$", "string")
+    return F.when(_is_string(v), F.regexp_extract(text, INT_PREFIX, 1).try_cast("long")).otherwise(F.try_variant_get(v, "$", "long"))
 
 
 def to_double(v: Column) -> Column:
-    return _once(v, _to_double)
+    """As to_int, as double; an object with num and den is their quotient (0 if den is 0)."""
+    num, den = _rational(v, "double")
+    return (
+        F.when(_is_string(v), F.regexp_extract(F.try_variant_get(v, "$", "string"), FLOAT_PREFIX, 1).try_cast("double"))
+        .when(F.startswith(_schema(v), F.lit("OBJECT")), F.when(num.isNotNull() & (den == 0), 0.0).otherwise(F.try_divide(num, den)))
+        .otherwise(F.try_variant_get(v, "$", "double"))
+    )
 
 
 def to_text(v: Column) -> Column:
-    return _once(v, _to_text)
+    """Doubles with six decimals, booleans as true or false, rationals as n/d, the rest unsupported; null is empty."""
+    num, den = _rational(v, "long")
+    first = F.substring(_schema(v), 1, 1)
+    return (
+        F.when(v.isNull() | (first == "V"), "")
+        .when(first == "O", F.coalesce(F.concat(num.cast("string"), F.lit("/"), den.cast("string")), F.lit("<unsupported type>")))
+        .when((first == "D") | (first == "F"), F.coalesce(F.format_string("%.6f", F.try_variant_get(v, "$", "double")), F.lit("<unsupported type>")))
+        .when(first == "A", "<unsupported type>")
+        .otherwise(F.try_variant_get(v, "$", "string"))
+    )
 
 
 def get_int(m: Column, key: str, default) -> Column:
@@ -80,7 +78,7 @@ def get_double(m: Column, key: str, default) -> Column:
 def get_string(m: Column, key: str, default) -> Column:
     """The string at a key, without coercion."""
     v = F.try_element_at(m, F.lit(key))
-    return F.coalesce(F.when(kind(v) == "string", F.try_variant_get(v, "$", "string")), F.lit(default).cast("string"))
+    return F.coalesce(F.when(_is_string(v), F.try_variant_get(v, "$", "string")), F.lit(default).cast("string"))
 
 
 def contains(m: Column, key: str) -> Column:

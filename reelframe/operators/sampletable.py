@@ -35,12 +35,16 @@ def chunk_samples(stsc: DataFrame, chunks: DataFrame, track: str) -> DataFrame:
     """Chunks (track, chunk from 1, offset) with their samples_per_chunk.
 
     An entry of stsc (track, first_chunk, samples_per_chunk) covers the chunks
-    up to the next entry's. A broadcast or merge join on track and range.
+    up to the next entry's; chunks before the first are left out. Entries and
+    chunks of a track are sorted together once, without a range join.
     """
-    w = Window.partitionBy(track).orderBy("first_chunk")
-    ranges = stsc.select(F.col(track).alias("__t"), "first_chunk", "samples_per_chunk", F.lead("first_chunk").over(w).alias("__next"))
-    on = (F.col(track) == F.col("__t")) & (F.col("chunk") >= F.col("first_chunk")) & (F.col("__next").isNull() | (F.col("chunk") < F.col("__next")))
-    return chunks.join(ranges, on).drop("__t", "__next", "first_chunk")
+    per = F.col("samples_per_chunk")
+    row = F.struct(*chunks.columns)
+    starts = stsc.select(F.col(track).alias("__t"), F.col("first_chunk").alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(chunks.select(row.alias("r")).schema["r"].dataType).alias("__row"), per.alias("__per"))
+    covered = chunks.select(F.col(track).alias("__t"), F.col("chunk").alias("__at"), F.lit(1).alias("__side"), row.alias("__row"), F.lit(None).cast(stsc.schema["samples_per_chunk"].dataType).alias("__per"))
+    w = Window.partitionBy("__t").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    out = starts.unionByName(covered).withColumn("__last", F.last("__per", ignorenulls=True).over(w)).where("__side = 1 and __last is not null")
+    return out.select("__row.*", F.col("__last").alias("samples_per_chunk"))
 
 
 def assign_samples(chunks: DataFrame, sizes: DataFrame, track: str) -> DataFrame:

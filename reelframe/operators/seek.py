@@ -1,8 +1,8 @@
-"""Seeking as aggregation: for each target, the packet to start from.
+"""Seeking: for each target, the packet to start from.
 
-Targets are joined to packets on the track alone and one conditional aggregate
-answers each; packets are pre-aggregated before the shuffle of the aggregate,
-so a long track costs no more than its packets.
+Targets and packets of a track are sorted together by time once, and running
+extremes up to each target, from either side, hold the answers. So a track costs
+its packets plus its targets, never their product.
 """
 
 from __future__ import annotations
@@ -13,41 +13,47 @@ from pyspark.sql import functions as F
 MODES = ("previous", "next", "closest", "any")
 
 
-def choose(mode: Column, n: Column, dts: Column, target: Column, key: Column) -> Column:
-    """An aggregate: the packet number for the mode, null if no packet will do.
-
-    previous is the last in file order with a key and dts at most the target,
-    which need not be the greatest dts; next the first with dts at least it;
-    closest the least distance, the earlier on ties; any as closest, keys or not.
-    """
-    near = F.struct(F.abs(dts - target), n)
-    return (
-        F.when(F.first(mode) == "previous", F.max(F.when(key & (dts <= target), n)))
-        .when(F.first(mode) == "next", F.min(F.when(key & (dts >= target), n)))
-        .when(F.first(mode) == "closest", F.min_by(F.when(key, n), F.when(key, near)))
-        .when(F.first(mode) == "any", F.min_by(n, near))
-    )
-
-
 def seek(packets: DataFrame, targets: DataFrame, track: str, compat_skip_first: Column | None = None) -> DataFrame:
-    """targets (track, target, mode) with start_n and error_code.
+    """targets (track, target, mode) with start_n and error_code; targets that repeat are answered once.
 
-    packets has track, n (file order), dts and is_keyframe. Without a packet
+    packets has track, n (file order), dts and is_keyframe. previous is the last
+    in file order with a key and dts at most the target, which need not be the
+    greatest dts; next the first with dts at least it; closest the least
+    distance, the earlier on ties; any as closest, keys or not. Without a packet
     that will do, start_n is the number of packets: the end. A negative target
     is an invalid argument (1001) and gives no start. compat_skip_first leaves
     out packets for which it holds.
     """
-    ids = targets.withColumn("__id", F.struct(track, "target", "mode")).dropDuplicates(["__id"])
-    right = packets.select(F.col(track).alias("__t"), "n", "dts", "is_keyframe")
-    usable = F.lit(True) if compat_skip_first is None else ~compat_skip_first
-    joined = ids.join(right, F.col(track) == F.col("__t"), "left")
-    found = joined.groupBy(track, "target", "mode").agg(
-        choose(F.col("mode"), F.when(usable, F.col("n")), F.when(usable, F.col("dts")), F.col("target"), F.col("is_keyframe") & usable).alias("__best"), F.count("n").alias("__all")
-    )
+    usable = F.col("dts").isNotNull() if compat_skip_first is None else F.col("dts").isNotNull() & ~compat_skip_first
+    number, time = F.when(usable, F.col("n")).cast("long"), F.col("dts").cast("long")
+    point = F.struct(time.alias("dts"), number.alias("n"))
+    none = F.lit(None).cast("struct<dts:bigint,n:bigint>")
+    left = targets.select(F.col(track).alias("__t"), F.col("target").cast("long").alias("__time"), F.lit(1).alias("__side"), none.alias("__any"), none.alias("__key"), F.lit(None).cast("long").alias("__n"), F.struct("target", "mode").alias("__ask")).distinct()
+    ask = left.schema["__ask"].dataType
+    right = packets.select(
+        F.col(track).alias("__t"), time.alias("__time"), F.lit(0).alias("__side"), F.when(usable, point).alias("__any"), F.when(usable & F.col("is_keyframe"), point).alias("__key"),
+        F.col("n").cast("long").alias("__n"), F.lit(None).cast(ask).alias("__ask"),
+    )
+    whole = Window.partitionBy("__t")
+    so_far = whole.orderBy("__time", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    from_here = whole.orderBy(F.desc("__time"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    # Of packets at one time, the first in file order.
+    latest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.dts").alias("dts"), (-F.col(f"{c}.n")).alias("less"), F.col(f"{c}.n").alias("n")))).over(so_far)
+    found = right.unionByName(left).select(
+        "__t", "__side", "__ask", F.max("__key.n").over(so_far).alias("__previous"), F.min("__key.n").over(from_here).alias("__next"), F.count("__n").over(whole).alias("__all"),
+        *(x for c in ("__key", "__any") for x in (latest(c).alias(f"{c}_before"), F.min(c).over(from_here).alias(f"{c}_after"))),
+    ).where("__side = 1")
+    mode, target = F.col("__ask.mode"), F.col("__ask.target")
+
+    def nearest(c: str) -> Column:
+        each = [F.when(F.col(f"{c}_{side}").isNotNull(), F.struct(F.abs(F.col(f"{c}_{side}.dts") - target), F.col(f"{c}_{side}.n").alias("n"))) for side in ("before", "after")]
+        return F.least(*each)["n"]
+
+    best = F.when(mode == "previous", F.col("__previous")).when(mode == "next", F.col("__next")).when(mode == "closest", nearest("__key")).when(mode == "any", nearest("__any"))
     return found.select(
-        track, "target", "mode",
-        F.when(F.col("target") >= 0, F.coalesce("__best", "__all")).alias("start_n"),
-        F.when(F.col("target") < 0, F.lit(1001)).otherwise(F.lit(0)).alias("error_code"),
+        F.col("__t").alias(track), target.alias("target"), mode.alias("mode"),
+        F.when(target >= 0, F.coalesce(best, "__all")).alias("start_n"),
+        F.when(target < 0, F.lit(1001)).otherwise(F.lit(0)).alias("error_code"),
     )
 
 
