@@ -57,15 +57,15 @@ def seek(packets: DataFrame, targets: DataFrame, track: str, compat_skip_first:
     )
 
 
-def as_of(left: DataFrame, right: DataFrame, track: str, time: str, carry: list[str]) -> DataFrame:
-    """left with the columns carry of the last right row of the track whose time is at most left's.
+def as_of(left: DataFrame, right: DataFrame, track: str, time: str, carry: list[str], following: bool = False) -> DataFrame:
+    """left with the columns carry of the last right row of the track whose time is at most left's; if following, of the first whose time is at least it.
 
     A union and one window per track: no range join, and each row is read once.
     """
     values = F.struct(F.col(time).alias("at"), *carry)
     a = left.withColumn("__row", F.struct(*left.columns)).select(F.col(track).alias("__t"), F.col(time).alias("__time"), F.lit(1).alias("__side"), "__row", F.lit(None).cast(right.select(values.alias("v")).schema["v"].dataType).alias("__v"))
     b = right.select(F.col(track).alias("__t"), F.col(time).alias("__time"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), values.alias("__v"))
-    w = Window.partitionBy("__t").orderBy("__time", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("__t").orderBy(F.desc("__time") if following else F.asc("__time"), "__side").rowsBetween(Window.unboundedPreceding, 0)
     out = a.unionByName(b).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
     return out.select("__row.*", F.col("__last.at").alias("as_of"), *(F.col(f"__last.{c}").alias(c) for c in carry))
 
@@ -79,8 +79,3 @@ def flac_sample(ts: Column, is_microseconds: Column, rate: Column) -> Column:
     """Target sample; seconds and the rest of a microsecond target are converted apart, so that they don't overflow."""
     micros = F.floor(ts / 1_000_000) * rate + F.floor((ts % 1_000_000) * rate / 1_000_000)
     return F.when(is_microseconds, micros).otherwise(ts).cast("long")
-
-
-def mp3_byte(first_frame: Column, ts: Column, rate: Column, kbps: Column) -> Column:
-    """Estimated byte of a target by the bit rate."""
-    return first_frame + (ts.cast("double") / rate * kbps * 125).cast("long")

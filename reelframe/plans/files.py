@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions import bitstream
-from reelframe.operators import decode, seek
+from reelframe.operators import decode, seekfile
 from reelframe.plans.queries import DTS_SQL, PACKETS_SQL, packets, query, read, timed
 from reelframe.sources import demux, sinks
 
@@ -92,13 +92,16 @@ def flac_round_trip(spark, sf_dir):
     )
 
 
-@query("""WITH b AS (SELECT p_partkey, p_size, sum(1) OVER () AS one FROM part)
-SELECT p_partkey, k AS seq, k * 1152 AS pts, 10 + k * 417 AS pos, 1152 AS duration, 417 AS size, 44100 AS sample_rate, 2 AS channels FROM b, unnest(range(p_size)) AS u(k)""")
-def mp3_packets(spark, sf_dir):
-    """MP3 files of p_size frames behind an empty ID3 tag: a packet for each frame, its pts the samples before it."""
+def _mp3s(spark, sf_dir) -> DataFrame:
     p = read(spark, sf_dir, "part", "p_partkey", "p_size", "p_name")
     frame = F.rpad(F.concat(F.lit("FFFB9000"), text_hex("p_name")), 2 * 417, "0")
-    src = as_files(p, F.col("p_partkey"), F.concat(F.lit("4944330400" + "00" * 5), F.repeat(frame, F.col("p_size"))))
+    return as_files(p, F.col("p_partkey"), F.concat(F.lit("4944330400" + "00" * 5), F.repeat(frame, F.col("p_size"))))
+
+
+@query("SELECT p_partkey, k AS seq, k * 1152 AS pts, 10 + k * 417 AS pos, 1152 AS duration, 417 AS size, 44100 AS sample_rate, 2 AS channels FROM part, unnest(range(p_size)) AS u(k)")
+def mp3_packets(spark, sf_dir):
+    """MP3 files of p_size frames behind an empty ID3 tag: a packet for each frame, its pts the samples before it."""
+    src = _mp3s(spark, sf_dir)
     t = demux.tracks(src).select(F.col("path").alias("t_path"), F.col("audio.sample_rate").alias("sample_rate"), F.col("audio.channels").alias("channels"))
     return demux.packets(src).join(t, F.col("path") == F.col("t_path")).select(key_of().alias("p_partkey"), "seq", "pts", "pos", "duration", F.octet_length("payload").alias("size"), "sample_rate", "channels")
 
@@ -327,10 +330,64 @@ def checksums(spark, sf_dir):
 # --- seeking by container ------------------------------------------------------------------
 
 
-@query(WEBP_SQL + ", t AS (SELECT conv_id, unnest([0, 100, 1000, 10000]) AS target FROM (SELECT DISTINCT conv_id FROM c)) SELECT t.conv_id, target, max(seq) AS start_seq FROM t JOIN c ON c.conv_id = t.conv_id AND pts <= target GROUP BY ALL")
+def _targets(df: DataFrame, values: list[int], stream: int = 0) -> DataFrame:
+    """Targets (path, stream, target) of each path."""
+    return df.select("path").distinct().select("path", F.lit(stream).alias("stream"), F.explode(F.array(*(F.lit(x).cast("long") for x in values))).alias("target"))
+
+
+@query(WEBP_SQL + ", t AS (SELECT conv_id, unnest([0, 100, 1000, 10000]) AS target FROM (SELECT DISTINCT conv_id FROM c)) SELECT t.conv_id, target, max(seq) AS start_seq, 0 AS error_code FROM t JOIN c ON c.conv_id = t.conv_id AND pts <= target GROUP BY ALL")
 def webp_seek(spark, sf_dir):
     """The last frame of an animation that starts at or before each target."""
     p = demux.packets(_webps(spark, sf_dir))
-    targets = p.select("path").distinct().withColumn("target", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 100, 1000, 10000)))))
-    left = targets.select("path", F.col("target").alias("pts"))
-    return seek.as_of(left, p.select("path", "pts", "seq"), "path", "pts", ["seq"]).select(key_of().alias("conv_id"), F.col("pts").alias("target"), F.col("seq").alias("start_seq"))
+    return seekfile.webp(p, _targets(p, [0, 100, 1000, 10000])).select(key_of().alias("conv_id"), "target", "start_seq", "error_code")
+
+
+MP3_TARGETS = [-5, 0, 1000, 20000, 50000]
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size AS n, CAST(trunc((10 + p_size * 417) / 16000.0::DOUBLE * 44100) AS BIGINT) AS duration, unnest({MP3_TARGETS}) AS target FROM part),
+b AS (SELECT *, CASE WHEN target > 0 THEN CAST(trunc(target::DOUBLE * 128 * 125 / 44100) AS BIGINT) ELSE 0 END AS byte FROM p),
+f AS (SELECT *, greatest(0, (byte - 10 + 416) // 417) AS k FROM b)
+SELECT p_partkey, target, CASE WHEN code = 0 THEN k END AS start_seq, CASE WHEN code = 0 THEN 10 + 417 * k END AS pos, CASE WHEN code = 0 THEN CASE WHEN target = 0 THEN 0 ELSE CAST(trunc((10 + 417 * k)::DOUBLE / 16000 * 44100) AS BIGINT) END END AS pts, code AS error_code
+FROM (SELECT *, CASE WHEN target < 0 OR (target > 0 AND target >= duration) THEN 1001 WHEN k >= n THEN 3010 ELSE 0 END AS code FROM f)""")
+def mp3_seek(spark, sf_dir):
+    """MP3 seeking by the bit rate: refused behind the duration, resumed at the next frame, timed by where that lies."""
+    src = _mp3s(spark, sf_dir)
+    t = demux.tracks(src)
+    found = seekfile.mp3(demux.packets(src), t, _targets(t, MP3_TARGETS))
+    return found.select(key_of().alias("p_partkey"), "target", "start_seq", "pos", "pts", "error_code")
+
+
+@query(STEREO_SQL + ", c AS (SELECT track, count(*) AS n FROM s GROUP BY track), t AS (SELECT track, n, unnest([0, 5, 60, 1000]) AS target FROM c) SELECT track, target, CASE WHEN target < n THEN 0 END AS start_seq, CASE WHEN target < n THEN target // 16 * 16 END AS pts, CASE WHEN target < n THEN 0 ELSE 3005 END AS error_code FROM t")
+def flac_seek(spark, sf_dir):
+    """The FLAC block of 16 samples that holds each target."""
+    wav = _stereo(spark, sf_dir)
+    files = sinks.mux_flac(demux.packets(wav), demux.tracks(wav), block=16)
+    src = demux.sources(files.select("path", F.octet_length("content").cast("long").alias("length"), "content"))
+    t = demux.tracks(src)
+    found = seekfile.flac(demux.packets(src), t, _targets(t, [0, 5, 60, 1000]))
+    return found.select(key_of().alias("track"), "target", F.when(F.col("error_code") == 0, F.col("start_seq") - F.floor(F.col("pts") / 16)).alias("start_seq"), "pts", "error_code")
+
+
+@query(MOVIE_SQL + ", k AS (SELECT track, min(CAST(trunc(CAST(dts + n % 3 AS DOUBLE) / 1000 * 1e9) AS BIGINT) // 1000000) AS low FROM mt GROUP BY track) SELECT track, target, low AS time, 0 AS error_code FROM k, (VALUES (0), (1)) t(target) UNION ALL SELECT track, -1, low, 1001 FROM k")
+def matroska_seek(spark, sf_dir):
+    """Matroska seeking by cues: targets before the first cue start there."""
+    src = demux.sources(sinks.mux_matroska(*_movie(spark, sf_dir)).select("path", F.octet_length("content").cast("long").alias("length"), "content"))
+    cues, clusters = demux.cue_points(src), demux.clusters(src)
+    found = seekfile.matroska(cues, clusters, _targets(clusters, [-1, 0, 1]))
+    return found.select(key_of().alias("track"), "target", "time", "error_code")
+
+
+@query("""SELECT kind, conv_id, target, CASE WHEN kind = 'still' OR target = 0 THEN 0 END AS start_seq, CASE WHEN kind = 'still' OR target = 0 THEN 0 ELSE 3010 END AS error_code
+FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('ogg'), ('still')) k(kind), (VALUES (0), (960)) t(target)""")
+def ogg_and_still_seek(spark, sf_dir):
+    t = _targets(read(spark, sf_dir, "conversations", "conv_id").select(F.col("conv_id").cast("string").alias("path")), [0, 960])
+    both = seekfile.ogg(t).withColumn("kind", F.lit("ogg")).unionByName(seekfile.still(t).withColumn("kind", F.lit("still")))
+    return both.select("kind", key_of().alias("conv_id"), "target", "start_seq", "error_code")
+
+
+@query(MOVIE_SQL + ", t AS (SELECT DISTINCT track, unnest([0, 500, 100000]) AS target FROM mt), c AS (SELECT track, count(*) AS n FROM mt GROUP BY track) SELECT t.track, target, coalesce(max(CASE WHEN is_keyframe AND dts <= target THEN mt.n END), any_value(c.n)) AS start_seq, 0 AS error_code FROM t JOIN mt USING (track) JOIN c USING (track) GROUP BY t.track, target")
+def generic_seek(spark, sf_dir):
+    """Back to the last key packet in file order at or before each target, of any stream."""
+    p = demux.packets(_movies(spark, sf_dir))
+    return seekfile.generic(p, _targets(p, [0, 500, 100000])).select(key_of().alias("track"), "target", "start_seq", "error_code")

@@ -157,6 +157,19 @@ def cues(b: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def clusters(b: bytes) -> list[tuple[int, int]]:
+    """(time, position in the segment) of each cluster."""
+    out = []
+    for name, x, y in elements(b, 0, len(b)):
+        if name == SEGMENT:
+            at = x
+            for child, p, q in elements(b, x, y):
+                if child == CLUSTER:
+                    out.append((next((int.from_bytes(b[u:v], "big") for k, u, v in elements(b, p, q) if k == TIME), 0), at - x))
+                at = q
+    return out
+
+
 def element(name: int, body: bytes) -> bytes:
     head = name.to_bytes((name.bit_length() + 7) // 8, "big")
     return head + (1 << 56 | len(body)).to_bytes(8, "big") + body

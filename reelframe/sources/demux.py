@@ -126,6 +126,24 @@ def seek_points(src: DataFrame) -> DataFrame:
     return src.where("container = 'flac'").select("path", "content").mapInArrow(run, ddl)
 
 
+def clusters(src: DataFrame) -> DataFrame:
+    """path, time, cluster (position in the segment) of Matroska clusters."""
+    ddl = "path string, time long, cluster long"
+    schema = to_arrow_schema(schemas.struct(ddl))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    rows += [{"path": path, "time": t, "cluster": c} for t, c in matroska.clusters(bytes(content or b""))]
+                except Exception:  # noqa: BLE001 - a broken file has no clusters
+                    continue
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return src.where("container in ('mkv', 'webm')").select("path", "content").mapInArrow(run, ddl)
+
+
 def cue_points(src: DataFrame) -> DataFrame:
     """path, time, track, cluster of Matroska cues."""
     ddl = "path string, time long, track int, cluster long"

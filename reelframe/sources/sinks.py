@@ -92,8 +92,8 @@ def mux_wav(packets: DataFrame, tracks: DataFrame) -> DataFrame:
 PCM_BITS = {"pcm_u8": 8, "pcm_s16le": 16, "pcm_s24le": 24}
 
 
-def mux_flac(packets: DataFrame, tracks: DataFrame, suffix: str = ".flac") -> DataFrame:
-    """One FLAC file for each path whose track 0 is PCM of 8, 16 or 24 bits; other paths are error rows."""
+def mux_flac(packets: DataFrame, tracks: DataFrame, suffix: str = ".flac", block: int = 4096) -> DataFrame:
+    """One FLAC file, in blocks of so many samples, for each path whose track 0 is PCM of 8, 16 or 24 bits; other paths are error rows."""
     t = tracks.where("index = 0").select(F.col("path").alias("t_path"), "codec", F.col("audio.sample_rate").alias("rate"), F.col("audio.channels").alias("channels"))
     rows = packets.where("stream_index = 0").join(t, F.col("path") == F.col("t_path"), "left").select("path", "seq", "payload", "codec", "rate", "channels")
 
@@ -108,7 +108,7 @@ def mux_flac(packets: DataFrame, tracks: DataFrame, suffix: str = ".flac") -> Da
         x = sum(raw[:, k] << 8 * k for k in range(bits // 8))
         x = x - 128 if bits == 8 else (x ^ 1 << bits - 1) - (1 << bits - 1)
         try:
-            return _one(first["path"] + suffix, flac.write(x.reshape(-1, channels).T, first["rate"], bits), 0)
+            return _one(first["path"] + suffix, flac.write(x.reshape(-1, channels).T, first["rate"], bits, block), 0)
         except Malformed as e:
             return _one(first["path"] + suffix, None, e.code)
 
