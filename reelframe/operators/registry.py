@@ -61,3 +61,21 @@ def profile_names(requests: DataFrame, profiles: DataFrame, codec: str, profile:
     dim = profiles.select(F.col("codec").alias("__codec"), F.col("profile").alias("__profile"), "profile_name")
     out = requests.join(F.broadcast(dim), (F.col(codec) == F.col("__codec")) & (F.col(profile) == F.col("__profile")), "left")
     return out.withColumn("profile_name", F.coalesce("profile_name", F.lit(""))).drop("__codec", "__profile")
+
+
+def by_name(descriptors: DataFrame, name: str) -> DataFrame:
+    """The descriptor of this name, or no row."""
+    return register(descriptors).where(F.col("name") == name)
+
+
+def listed(descriptors: DataFrame, kind: str | None = None, codec: str | None = None) -> DataFrame:
+    """Registered descriptors in order, of a media type or codec if one is given."""
+    out = register(descriptors)
+    out = out if kind is None else out.where(F.col("type") == kind)
+    return (out if codec is None else out.where(F.col("codec") == codec)).orderBy("reg_order")
+
+
+def format_for(requests: DataFrame, formats: DataFrame, container: str, capability: str | None = None) -> DataFrame:
+    """requests with format: the registered format of their container that has the capability (can_demux, can_mux), else null."""
+    able = register_formats(formats).where(F.col(capability) if capability else F.lit(True)).select(F.col("container").alias("__container"), F.col("name").alias("format"))
+    return requests.join(F.broadcast(able), F.col(container) == F.col("__container"), "left").drop("__container")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelframe import catalog
 from reelframe.functions import bitstream
-from reelframe.operators import decode, seekfile
+from reelframe.operators import decode, plugins, registry, seekfile
 from reelframe.plans.queries import DTS_SQL, PACKETS_SQL, packets, query, read, timed
 from reelframe.sources import demux, sinks
 
@@ -391,3 +392,59 @@ def generic_seek(spark, sf_dir):
     """Back to the last key packet in file order at or before each target, of any stream."""
     p = demux.packets(_movies(spark, sf_dir))
     return seekfile.generic(p, _targets(p, [0, 500, 100000])).select(key_of().alias("track"), "target", "start_seq", "error_code")
+
+
+# --- decoders from outside -----------------------------------------------------------------------
+
+
+class Counter:
+    """A decoder with state: holds each packet back until the next, and tells how many bytes it has seen."""
+
+    def __init__(self, track: dict) -> None:
+        self.seen, self.held = 0, None
+
+    def decode(self, payload: bytes, pts: int):
+        out = self.flush()
+        self.seen += len(payload)
+        self.held = (pts, payload)
+        return out
+
+    def flush(self):
+        if self.held is None:
+            return []
+        (pts, payload), self.held = self.held, None
+        return [(pts, decode._audio("u8", 8, 8000, 1, [payload], self.seen, False), None)]
+
+
+@query(MOVIE_SQL + """, e AS (SELECT *, dts + n % 3 AS pts, n // 20 AS epoch FROM mt WHERE stream_index = 1), w AS (SELECT *, sum(length(payload)) OVER (PARTITION BY track, epoch ORDER BY n) AS seen FROM e)
+SELECT track, pts, CAST(seen AS BIGINT) AS seen, payload, 0 AS error_code FROM w UNION ALL SELECT track, CASE WHEN true THEN dts + n % 3 END, NULL, NULL, 4001 FROM mt WHERE stream_index = 0""")
+def stateful_decode(spark, sf_dir):
+    """A decoder from outside for one stream, fresh in each epoch and flushed at its end; a codec whose library isn't there gives error rows."""
+    p, t = _movie(spark, sf_dir)
+    p = p.withColumn("epoch", F.floor(F.col("seq") / 20))
+    f = plugins.decode_streams(p, t, {"pcm_s16le": "reelframe.plans.files:Counter", "vp9": "no_such_library:Decoder"}, "epoch")
+    return f.select(key_of().alias("track"), "pts", F.col("audio.nb_samples").alias("seen"), F.decode(F.col("audio.planes")[0], "UTF-8").alias("payload"), "error_code")
+
+
+@query(f"""WITH d AS {catalog.values_sql("codec_descriptors")}, r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY reg_order) AS k FROM d WHERE codec IS NOT NULL AND type <> 'none' AND name <> '')
+SELECT user_id, r.name, r.reg_order, r.codec FROM (SELECT DISTINCT user_id FROM events) e, r WHERE k = 1 AND type = CASE WHEN user_id % 2 = 0 THEN 'audio' ELSE 'image' END""")
+def registry_list(spark, sf_dir):
+    """Registered codecs of the media type that each user asks for."""
+    d = catalog.dimension(spark, "codec_descriptors")
+    kinds = registry.listed(d, "audio").unionByName(registry.listed(d, "image")).select("name", "reg_order", "codec", "type")
+    users = read(spark, sf_dir, "events", "user_id").distinct().withColumn("kind", F.when(F.col("user_id") % 2 == 0, "audio").otherwise("image"))
+    return users.join(F.broadcast(kinds), F.col("kind") == F.col("type")).select("user_id", "name", "reg_order", "codec")
+
+
+CONTAINERS = ["wav", "mkv", "mp4", "png", "nut"]
+
+
+@query(f"""WITH f AS {catalog.values_sql("format_descriptors")}, r AS (SELECT *, row_number() OVER (PARTITION BY container ORDER BY reg_order) AS k FROM f),
+e AS (SELECT DISTINCT user_id, {CONTAINERS}[CAST(user_id % 5 AS INTEGER) + 1] AS container FROM events)
+SELECT user_id, e.container, a.name AS reads, b.name AS writes FROM e LEFT JOIN r a ON a.container = e.container AND a.k = 1 AND a.can_demux LEFT JOIN r b ON b.container = e.container AND b.k = 1 AND b.can_mux""")
+def format_lookup(spark, sf_dir):
+    """The format that reads, and the one that writes, the container that each user asks for."""
+    f = catalog.dimension(spark, "format_descriptors")
+    users = read(spark, sf_dir, "events", "user_id").distinct().withColumn("container", F.get(F.array(*map(F.lit, CONTAINERS)), (F.col("user_id") % 5).cast("int")))
+    out = registry.format_for(users, f, "container", "can_demux").withColumnRenamed("format", "reads")
+    return registry.format_for(out, f, "container", "can_mux").withColumnRenamed("format", "writes")
