@@ -29,6 +29,8 @@ UNKNOWN = "und"
 #: More learned languages than this are refused: each costs TOP numbers per task.
 MAX_LANGUAGES = 5_000
 FLUSH = 1_000_000
+#: Bytes of text whose n-grams are sorted at a time; they take about a hundred times that.
+SLICE = 1 << 17
 #: Bits of a code point, plus one, in an n-gram's number; the leading digit that isn't 0 tells its length.
 BITS = 21
 
@@ -179,7 +181,7 @@ def train(labelled: DataFrame, top: int = TOP) -> Profiles:
     def count(batches):
         names: dict[str, int] = {}
         held, size = [], 0
-        for batch in slices(batches, 1 << 20):
+        for batch in slices(batches, SLICE):
             own = np.array([names.setdefault(x, len(names)) for x in batch.column(1).to_pylist()], np.int64)
             g = grams_of(texts_of(batch.column(0)), own)
             if len(g.code):
@@ -258,7 +260,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """
 
     def run(batches):
-        for batch in slices(batches, 1 << 20):
+        for batch in slices(batches, SLICE):
             names, score = judged(batch.column(1), profiles)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -293,7 +295,7 @@ def in_a_language(docs: DataFrame, languages: list[str] | None = None, least_sco
     kept = set(profiles.languages if languages is None else languages)
 
     def run(batches):
-        for batch in slices(batches, 1 << 20):
+        for batch in slices(batches, SLICE):
             best, score, lettered = nearest(texts_of(batch.column(batch.schema.get_field_index("text"))), profiles)
             wanted = np.array([x in kept for x in profiles.languages], bool)
             yield batch.filter(pa.array(lettered & wanted[best] & (score > least_score) if len(wanted) else lettered))
