@@ -164,6 +164,11 @@ SAMPLE_BYTES = {"u8": 1, "s16": 2, "s32": 4, "f32": 4, "f64": 8}
 # Rate control modes in order.
 RATE_MODES = ["crf", "cbr", "vbr", "cqp", "abr", "hqcbr", "hqvbr", "qvbr", "vbr_lat", "icq"]
 
+# Option keys of the Opus encoder; all are whole numbers.
+OPTION_KEYS = [
+    "opus.application", "opus.bitrate", "opus.vbr", "opus.complexity", "opus.frame_size", "opus.force_channels", "opus.signal_type", "opus.bandwidth", "opus.packet_loss_perc", "opus.fec", "opus.dtx", "opus.lsb_depth", "opus.lookahead",
+]
+
 _COLUMNS = {
     "codec_meta": (CODEC_META, "codec string, name string, long_name string, type string"),
     "profiles": (PROFILES, "codec string, profile int, profile_name string"),

@@ -81,6 +81,12 @@ def get_string(m: Column, key: str, default) -> Column:
     return F.coalesce(F.when(_is_string(v), F.try_variant_get(v, "$", "string")), F.lit(default).cast("string"))
 
 
+def options(m: Column, keys: list[str]) -> Column:
+    """Options (key, value) that m sets, in the keys' order, as whole numbers; other keys and values that aren't numbers are left out."""
+    each = F.array(*(F.struct(F.lit(k).alias("key"), to_int(F.try_element_at(m, F.lit(k))).alias("value")) for k in keys))
+    return F.filter(each, lambda x: x["value"].isNotNull())
+
+
 def contains(m: Column, key: str) -> Column:
     return F.map_contains_key(m, F.lit(key))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe import catalog
-from reelframe.functions import bitstream
+from reelframe.functions import bitstream, dictionary
 from reelframe.operators import decode, plugins, registry, seekfile
 from reelframe.plans.queries import DTS_SQL, PACKETS_SQL, packets, query, read, timed
 from reelframe.sources import demux, sinks
@@ -448,3 +448,17 @@ def format_lookup(spark, sf_dir):
     users = read(spark, sf_dir, "events", "user_id").distinct().withColumn("container", F.get(F.array(*map(F.lit, CONTAINERS)), (F.col("user_id") % 5).cast("int")))
     out = registry.format_for(users, f, "container", "can_demux").withColumnRenamed("format", "reads")
     return registry.format_for(out, f, "container", "can_mux").withColumnRenamed("format", "writes")
+
+
+@query("""SELECT event_id, key, CAST(value AS BIGINT) AS value FROM (SELECT event_id, unnest(['opus.application', 'opus.bitrate', 'opus.complexity', 'opus.fec']) AS key,
+  unnest([2048 + event_id % 2, k * 1000, k % 11, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END]) AS value FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))""")
+def encoder_options(spark, sf_dir):
+    """Encoder options out of dictionaries: numbers, numbers as text and flags count; a name that isn't a number and unknown keys don't."""
+    e = read(spark, sf_dir, "events", "event_id", "event_type", "props").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    values = {
+        "opus.bitrate": F.concat(F.lit('"'), (F.col("k") * 1000).cast("string"), F.lit('bps"')), "opus.application": (F.col("event_id") % 2 + 2048).cast("string"), "opus.complexity": (F.col("k") % 11).cast("string"),
+        "opus.fec": (F.col("event_type") == "click").cast("string"), "opus.signal_type": F.lit('"music"'), "opus.unknown": F.lit("1"),
+    }
+    m = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.parse_json(v))))
+    found = e.select("event_id", m.alias("m")).select("event_id", F.explode(dictionary.options(F.col("m"), catalog.OPTION_KEYS)).alias("o"))
+    return found.select("event_id", "o.key", "o.value")
