@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.llm.bpe import Codec, codec
+from reelframe.llm.kernels import slices
 
 LEAF = 512
 SAFE = re.compile(" (?=[A-Za-z])")
@@ -133,7 +134,7 @@ def count_edited(docs: DataFrame, edits: Column, path: str) -> DataFrame:
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 tree = Tree(text or "", own)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelframe.llm.common import cut, join_by_share
+
 #: The rules of the registered query, longest match first to win.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,12 +44,11 @@ class Node:
 
 
 def build(rules: list[tuple[str, str, str]]) -> Node:
-    """The trie of (verdict, host, path) rules; of equal rules the first counts."""
-    root, seen = Node(), set()
+    """The trie of (verdict, host, path) rules; where equal hosts and paths have both verdicts, block counts."""
+    root, ruled = Node(), {}
     for verdict, host, path in rules:
-        if (host, path) in seen:
-            continue
-        seen.add((host, path))
+        ruled[host, path] = max(verdict, ruled.get((host, path), ""))
+    for (host, path), verdict in ruled.items():
         node = root
         for label in reversed(host.split(".")):
             node = node.children.setdefault(label, Node())
@@ -106,29 +107,42 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """As judge(), for rule tables (verdict, host, path) of any size.
+    """As judge(), for rule tables (verdict, host, path) of any size; rules with a null in them are left out.
 
-    A url gives one key for each suffix of its host and directory of its path,
-    so the join has a bounded number of rows per url; only one rule per url is
-    left by an aggregate that combines before its shuffle.
+    A url gives one key for each suffix of its host and directory of its path;
+    one row a key holds its rules, and keys that a large share of the urls have
+    (a whole top-level domain's) are joined by broadcast. Only one rule per url
+    is left by an aggregate that combines before its shuffle.
     """
     parts = F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)([^?#]*)", 1), F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)([^?#]*)", 2)
-    base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")).select(
-        "page_id", F.translate(parts[0], UPPER, LOWER).alias("host"), parts[1].alias("path")
-    ).withColumn("row", F.monotonically_increasing_id())
+    base = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")).select(
+        F.col("page_id").cast("long").alias("page_id"), F.translate(parts[0], UPPER, LOWER).alias("host"), parts[1].alias("path")
+    )
+    base = cut(base.withColumn("row", F.monotonically_increasing_id()))
     labels, segments = F.split("host", r"\.", -1), F.split("path", "/", -1)
     keys = base.withColumn("k_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))))
-    keys = keys.withColumn("k_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda k: F.array_join(F.slice(segments, 1, k), "/"))))
-    r = rules.select(F.col("verdict").alias("r_verdict"), F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.regexp_replace("path", "/?[^/]*$", "").alias("r_dir"))
-    r = r.withColumn("r_depth", F.size(F.split("r_path", "/", -1))).dropDuplicates(["r_host", "r_path"])
-    hit = keys.join(r, (F.col("k_host") == F.col("r_host")) & (F.col("k_dir") == F.col("r_dir")) & F.expr("startswith(path, r_path)") & (F.size(F.split("k_dir", "/", -1)) + F.when(F.col("r_depth") == 1, 0).otherwise(1) == F.greatest("r_depth", F.lit(1))))
-    best = hit.groupBy("row").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"))).alias("b")).withColumnRenamed("row", "b_row")
+    keys = keys.withColumn("k_dir", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(segments) - 1)), lambda k: F.array_join(F.slice(segments, 1, k), "/"))))
+    keys = keys.select("row", "path", "k_host", "k_dir")
+    own = rules.dropna(subset=["verdict", "host", "path"]).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    own = own.groupBy(F.col("host").alias("r_host"), F.regexp_replace("path", "/?[^/]*$", "").alias("r_dir")).agg(F.collect_list(F.struct("path", "verdict")).alias("rules"))
+    counts = keys.groupBy(F.col("k_host").alias("n_host"), F.col("k_dir").alias("n_dir")).agg(F.count(F.lit(1)).alias("n"))
+    right = own.join(counts, (F.col("r_host") == F.col("n_host")) & (F.col("r_dir") == F.col("n_dir"))).drop("n_host", "n_dir")
+    hit = join_by_share(keys, cut(right), (F.col("k_host") == F.col("r_host")) & (F.col("k_dir") == F.col("r_dir")), "n")
+    weighed = F.transform(
+        F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])),
+        lambda r: F.struct((F.length("r_host") + F.length(r["path"])).alias("size"), F.length("r_host").alias("host_size"), F.concat("r_host", r["path"]).alias("rule"), r["verdict"].alias("verdict")),
+    )
+    best = hit.groupBy(F.col("row").alias("b_row")).agg(F.max(F.array_max(weighed)).alias("b"))
     return base.join(best, F.col("row") == F.col("b_row"), "left").select(
-        "page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.r_verdict", F.when(F.col("host") != "", "allow").otherwise("block")).alias("verdict")
+        "page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.when(F.col("host") != "", "allow").otherwise("block")).alias("verdict")
     )
 
 
 def verdicts(pages: DataFrame, rules: DataFrame, max_rules: int = 200_000) -> DataFrame:
-    """judge() if rules has at most max_rules rows (about 50 MB as a trie), else judge_by_join()."""
-    few = rules.select("verdict", "host", "path").limit(max_rules + 1).collect()
+    """judge() if rules has at most max_rules rows (about 50 MB as a trie), else judge_by_join(); both give the same rows.
+
+    Rules with a null in them are left out; where equal hosts and paths have
+    both verdicts, block counts.
+    """
+    few = rules.select("verdict", "host", "path").dropna().limit(max_rules + 1).collect()
     return judge(pages, [tuple(r) for r in few]) if len(few) <= max_rules else judge_by_join(pages, rules)

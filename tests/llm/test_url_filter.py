@@ -51,3 +51,19 @@ def test_join_and_trie_agree_on_many_rules(spark):
 def test_empty_table_and_repeats(spark):
     assert url_filter.judge(spark.createDataFrame([], PAGES), url_filter.RULES).collect() == []
     assert len(url_filter.judge(spark.createDataFrame([(None, "http://a.com/en/", None)] * 2, PAGES), url_filter.RULES).collect()) == 2
+
+
+def test_equal_rules_and_nulls_give_the_same_on_both_paths(spark):
+    rules = [("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("block", "b.com", ""), ("allow", "b.com", ""), (None, "a.com", "/x/y"), ("block", None, "/x")]
+    made = ["http://a.com/x/y", "http://w.b.com", "http://b.com/?q", "x", None, "://", "http:///x", "http://a.com//x"] * 3
+    pages = spark.createDataFrame([(k, u, None) for k, u in enumerate(made)], PAGES)
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    a, b = (sorted(map(tuple, url_filter.verdicts(pages, table, most).collect())) for most in (100, 1))
+    assert a == b and [r[3:] for r in a[:4]] == [("a.com/x", "block"), ("b.com", "block"), ("b.com", "block"), (None, "block")] and a[7][3:] == (None, "allow")
+
+
+def test_a_key_that_every_url_has_is_joined_by_broadcast(spark):
+    pages = spark.createDataFrame([(k, f"http://h{k}.com/d/{k}", None) for k in range(400)], PAGES)
+    table = spark.createDataFrame([("block", "com", "/d/1"), ("allow", "h10.com", "/d/10")], "verdict string, host string, path string")
+    rows = {r.page_id: r.verdict for r in url_filter.judge_by_join(pages, table).collect()}
+    assert rows == {k: "block" if str(k)[0] == "1" and k != 10 else "allow" for k in range(400)}
