@@ -238,7 +238,8 @@ def near_groups(docs: DataFrame, block: int = BLOCK, star: int = STAR) -> DataFr
     found = base.join(wanted, F.col("doc_id") == F.col("node"))
     sets = cut(shingle_blobs(found))
     spread = sets.select("node", "set", F.explode("stars").alias("star")).select(F.col("star.hub").alias("hub"), F.explode("star.salts").alias("salt"), "node", "set")
-    links = verified_stars(spread, parts)
+    # Cut before each contraction: two Python operators in one stage would hold twice the workers.
+    links = cut(verified_stars(spread, parts))
     roots = components(links)
     # Buckets that the stars' links leave in several components.
     labelled = cut(with_root(members, roots))
@@ -251,7 +252,7 @@ def near_groups(docs: DataFrame, block: int = BLOCK, star: int = STAR) -> DataFr
     nodes = join_by_share(nodes, cut(weight), F.col("group") == F.col("w_group"), "n").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.xxhash64("group", F.least(k, F.col("block")), F.greatest(k, F.col("block"))))
     nodes = nodes.select("node", F.col("own").alias("root"), "block", F.explode(pairs).alias("cell"))
-    more = verified_cells(nodes.join(sets.select(F.col("node").alias("s_node"), "set"), F.col("node") == F.col("s_node")).select("cell", "node", "root", "block", "set"), parts)
+    more = cut(verified_cells(nodes.join(sets.select(F.col("node").alias("s_node"), "set"), F.col("node") == F.col("s_node")).select("cell", "node", "root", "block", "set"), parts))
     roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     # Back to rows: the component of the class of rows that share a set, or of the row itself.
     shared_sets = with_root(classes.where("rows > 1"), roots).select(F.col("n_shingles").alias("c_n"), F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("root").alias("c_root"), "rows")
