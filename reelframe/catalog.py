@@ -95,7 +95,7 @@ CODEC_DESCRIPTORS = [
         ("h265", "h265", "video", True, False, False, False),
         ("h265", "h265_gpu", "video", True, True, True, False),
         ("png", "png", "image", True, False, False, True),
-        ("jpeg", "jpeg", "image", True, False, False, False),
+        ("jpeg", "jpeg", "image", True, False, False, True),
         ("webp", "webp", "image", True, False, False, False),
         ("gif", "gif", "image", True, False, False, True),
         ("tga", "tga", "image", True, False, False, True),
@@ -153,7 +153,7 @@ MATROSKA_CODECS = [
 #: What the enabled implementations give: name, sample formats, pixel formats, threads.
 CAPABILITIES = [
     ("pcm_u8", ["u8"], [], 1), ("pcm_s16le", ["s16"], [], 1), ("pcm_s24le", ["s32"], [], 1), ("pcm_s32le", ["s32"], [], 1), ("pcm_f32le", ["f32"], [], 1), ("pcm_f64le", ["f64"], [], 1), ("flac", ["s32"], [], 1),
-    ("png", [], ["gray8", "rgba"], 1), ("gif", [], ["rgba"], 1), ("tga", [], ["gray8", "rgba"], 1), ("bmp", [], ["rgba"], 1), ("tiff", [], ["gray8", "gray16", "rgba", "rgba64"], 1),
+    ("png", [], ["gray8", "rgba"], 1), ("jpeg", [], ["rgba"], 1), ("gif", [], ["rgba"], 1), ("tga", [], ["gray8", "rgba"], 1), ("bmp", [], ["rgba"], 1), ("tiff", [], ["gray8", "gray16", "rgba", "rgba64"], 1),
 ]
 
 # Track dispositions by bit.

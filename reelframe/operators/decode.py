@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from reelframe import schemas
 from reelframe.catalog import PIXEL_FORMATS
 from reelframe.operators import pictures
+from reelframe.operators.jpeg import jpeg
 from reelframe.sources.containers import Malformed, flac
 
 # PCM codec to sample format and NumPy type.
@@ -73,7 +74,7 @@ def picture(name: str, x: np.ndarray, key: bool = True) -> dict:
     return {"pixel_format": name, "width": width, "height": height, "is_keyframe": key, "color_space": "bt709", "transfer": "bt709", "planes": [{"data": data, "linesize": width * BYTES[name]}]}
 
 
-STILL = {"bmp": pictures.bmp, "tga": pictures.tga, "png": pictures.png, "tiff": pictures.tiff}
+STILL = {"bmp": pictures.bmp, "tga": pictures.tga, "png": pictures.png, "tiff": pictures.tiff, "jpeg": jpeg}
 
 
 def frames_of(codec: str | None, payload: bytes, pts: int, track: dict):

@@ -175,8 +175,12 @@ def _unfiltered(data: bytes, height: int, row: int, step: int) -> np.ndarray:
     return out
 
 
+# First column, first row and steps of the seven passes of an interlaced PNG.
+ADAM7 = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+
+
 def png(b: bytes) -> Picture:
-    """All colour types, without interlacing: 16 bits to 8, palette and RGB to RGBA, gray below 8 bits to 8; gray's alpha is dropped."""
+    """All colour types, interlaced or not: 16 bits to 8, palette and RGB to RGBA, gray below 8 bits to 8; gray's alpha is dropped."""
     _need(b[:8] == b"\x89PNG\r\n\x1a\n", 3003)
     at, data, palette, clear = 8, [], np.zeros((0, 4), np.uint8), b""
     width = height = depth = colour = laced = 0
@@ -192,20 +196,21 @@ def png(b: bytes) -> Picture:
             data.append(body)
         at += 12 + n
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
-    _need(channels is not None and depth in (1, 2, 4, 8, 16) and not laced, 4002)
+    _need(channels is not None and depth in (1, 2, 4, 8, 16) and laced in (0, 1), 4002)
     _bounded(width, height)
-    row = (width * channels * depth + 7) // 8
+    x = np.zeros((height, width, channels), np.uint8)
+    passes = [x[y0::dy, x0::dx] for x0, y0, dx, dy in (ADAM7 if laced else [(0, 0, 1, 1)])]
+    rows = [(part.shape[1] * channels * depth + 7) // 8 for part in passes]
     try:
-        raw = zlib.decompressobj().decompress(b"".join(data), height * (row + 1))
+        raw = zlib.decompressobj().decompress(b"".join(data), sum(len(part) * (row + 1) for part, row in zip(passes, rows, strict=True)))
     except zlib.error:
         raise Malformed(4005) from None
-    lines = _unfiltered(raw, height, row, max(1, channels * depth // 8))
-    if depth == 16:
-        x = lines[:, ::2].reshape(height, width, channels)
-    elif depth == 8:
-        x = lines.reshape(height, width, channels)
-    else:
-        x = unpacked(lines, depth, width)[:, :, None]
+    begin = 0
+    for part, row in zip(passes, rows, strict=True):
+        if part.size:  # a pass without pixels has no bytes
+            lines = _unfiltered(raw[begin:], len(part), row, max(1, channels * depth // 8))
+            begin += len(part) * (row + 1)
+            part[:] = unpacked(lines, depth, part.shape[1])[:, :, None] if depth < 8 else lines[:, :: depth // 8].reshape(part.shape)
     if colour == 3:
         if clear:
             palette[: len(clear), 3] = np.frombuffer(clear, np.uint8)[: len(palette)]
@@ -295,22 +300,63 @@ def packbits(data: bytes, size: int) -> bytes:
     return b"".join(out)
 
 
+def tiff_lzw(data: bytes, most: int) -> bytes:
+    """TIFF's LZW: the most significant bit first, codes a bit wider one entry before they must be; what follows `most` bytes isn't read."""
+    single = [bytes([k]) for k in range(256)] + [b"", b""]
+    table, width, last, out = list(single), 9, b"", []
+    value = have = made = 0
+    for byte in data:
+        value, have = (value << 8 | byte) & 0xFFFFFF, have + 8
+        if have < width:
+            continue
+        have -= width
+        code = value >> have & (1 << width) - 1
+        if code == 257 or made >= most:
+            break
+        if code == 256:
+            table, width, last = list(single), 9, b""
+            continue
+        _need(code < len(table) or (code == len(table) and bool(last)))
+        entry = table[code] if code < len(table) else last + last[:1]
+        if last and len(table) < 4096:
+            table.append(last + entry[:1])
+        out.append(entry)
+        made, last = made + len(entry), entry
+        width = min(12, (len(table) + 1).bit_length())
+    return b"".join(out)[:most]
+
+
+def _strip(data: bytes, kind: int, size: int) -> bytes:
+    """The bytes, at most `size`, of a strip compressed in a way that TIFF names by number."""
+    if kind == 32773:
+        return packbits(data, size)[:size]
+    if kind == 5:
+        return tiff_lzw(data, size)
+    if kind in (8, 32946):
+        try:
+            return zlib.decompressobj().decompress(data, size)
+        except zlib.error:
+            raise Malformed(4005) from None
+    return data[:size]
+
+
 def tiff(b: bytes) -> Picture:
-    """Uncompressed and PackBits strips of gray, RGB(A) and CMYK of 8 or 16 bits; white-is-zero gray is inverted."""
+    """Strips, plain or in PackBits, LZW or Deflate (with or without differences), of gray, RGB(A) and CMYK of 8 or 16 bits; white-is-zero gray is inverted."""
     order, f = tiff_fields(b)
     one = lambda tag, default: f.get(tag, [default])[0]
     width, height, bits, channels, kind, photo = one(256, 0), one(257, 0), one(258, 1), one(277, 1), one(259, 1), one(262, 0)
-    _need(bits in (8, 16) and kind in (1, 32773) and photo in (0, 1, 2, 5) and one(284, 1) == 1, 4002)
+    _need(bits in (8, 16) and kind in (1, 5, 8, 32773, 32946) and photo in (0, 1, 2, 5) and one(284, 1) == 1 and one(317, 1) in (1, 2) and 273 in f, 4002)
     _bounded(width, height)
     rows, row = one(278, height), width * channels * bits // 8
-    raw = b""
-    for k, (at, n) in enumerate(zip(f.get(273, []), f.get(279, []), strict=True)):
-        part = b[at : at + n]
-        raw += packbits(part, row * min(rows, height - k * rows)) if kind == 32773 else part
+    _need(rows > 0 and channels > 0)
+    places = zip(f[273], f.get(279, []), strict=True)
+    raw = b"".join(_strip(b[at : at + n], kind, row * max(0, min(rows, height - k * rows))) for k, (at, n) in enumerate(places))
     _need(len(raw) >= row * height)
     kinds = np.uint8 if bits == 8 else np.dtype(">u2" if order == "big" else "<u2")
     x = np.frombuffer(raw, kinds, width * height * channels).reshape(height, width, channels)
     x = x if bits == 8 else x.astype(np.uint16)
+    if one(317, 1) == 2:  # samples are differences along a row
+        x = np.cumsum(x, axis=1, dtype=x.dtype)
     if photo in (0, 1):
         x = x[:, :, :1]
         return f"gray{bits}", x if photo == 1 else (1 << bits) - 1 - x

@@ -212,6 +212,20 @@ def jpeg_headers(spark, sf_dir):
     return t.join(n, F.col("path") == F.col("t_path")).select(key_of().alias("p_partkey"), "width", "height", "codec", "packets", "size")
 
 
+@query("""WITH c AS (SELECT p_partkey, p_name, unnest(range(1, CAST(length(p_name) AS BIGINT) + 1)) AS i FROM part)
+SELECT p_partkey, 0 AS frame, 'rgba' AS pixel_format, 8 * length(p_name) AS width, 8 AS height,
+  repeat(string_agg(repeat(repeat(printf('%02X', 192 + ascii(substr(p_name, i, 1)) // 2), 3) || 'FF', 8), '' ORDER BY i), 8) AS rgba FROM c GROUP BY p_partkey, p_name""")
+def jpeg_pixels(spark, sf_dir):
+    """Gray JPEG files with a flat block for each letter of p_name: a code of two bits, eight bits of its level, the end of the block, then a restart marker."""
+    p = read(spark, sf_dir, "part", "p_partkey", "p_name")
+    n = F.char_length("p_name")
+    level = lambda i: 128 + 2 * F.floor(F.ascii(F.substr(F.col("p_name"), i, F.lit(1))) / 2)
+    block = lambda i: F.concat(be(level(i) * 64 + 31, 2), F.when(i < n, F.concat(F.lit("FFD"), ((i - 1) % 8).cast("string"))).otherwise(""))
+    table = lambda kind, counts, symbol: f"FFC40014{kind}{counts}" + "00" * (16 - len(counts) // 2) + symbol
+    head = F.concat(F.lit("FFD8" + "FFDB004300" + "04" * 64 + "FFC0000B080008"), be(8 * n, 2), F.lit("01011100" + table("00", "0001", "08") + table("10", "01", "00") + "FFDD00040001" + "FFDA0008010100003F00"))
+    return pixels_of(as_files(p, F.col("p_partkey"), F.concat(head, F.array_join(F.transform(F.sequence(F.lit(1), n), block), ""), F.lit("FFD9"))), "rgba")
+
+
 WEBP_SQL = "WITH c AS (SELECT conv_id, turn, row_number() OVER w - 1 AS seq, length(text) AS delay, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pts FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
 
 

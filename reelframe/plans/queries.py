@@ -244,7 +244,7 @@ def track_disposition(spark, sf_dir):
     return read(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.array_join(registry.dispositions(mask), ",").alias("names"), registry.is_picture(kind, mask).alias("picture"))
 
 
-@query("SELECT * FROM (VALUES ('bmp', 'rgba'), ('gif', 'rgba'), ('png', 'rgba'), ('tga', 'rgba'), ('tiff', 'rgba'), ('png', 'gray8'), ('tga', 'gray8'), ('tiff', 'gray8'), ('flac', 's32'), ('pcm_s24le', 's32'), ('pcm_s32le', 's32')) AS v(name, format)")
+@query("SELECT * FROM (VALUES ('bmp', 'rgba'), ('gif', 'rgba'), ('jpeg', 'rgba'), ('png', 'rgba'), ('tga', 'rgba'), ('tiff', 'rgba'), ('png', 'gray8'), ('tga', 'gray8'), ('tiff', 'gray8'), ('flac', 's32'), ('pcm_s24le', 's32'), ('pcm_s32le', 's32')) AS v(name, format)")
 def codec_capabilities(spark, sf_dir):
     d, c = catalog.dimension(spark, "codec_descriptors"), catalog.dimension(spark, "capabilities")
     pick = lambda f, **more: registry.supporting(d, c, **more).select("name", F.lit(f).alias("format"))
