@@ -7,7 +7,9 @@ machines mount. An object store takes the same rows by any Spark writer.
 
 from __future__ import annotations
 
+import contextlib
 import os
+import uuid
 import zlib
 
 import numpy as np
@@ -29,8 +31,21 @@ class _Written(WriterCommitMessage):
         self.paths = paths
 
 
+def place_of(folder: str, path: str) -> str:
+    """Where a row's file goes: its path below the folder, without a scheme; a path that leaves the folder is an error."""
+    below = path.split("://", 1)[1] if "://" in path else path.removeprefix("file:")
+    out = os.path.normpath(os.path.join(folder, below.lstrip("/")))
+    if not out.startswith(os.path.join(os.path.normpath(folder), "")):
+        raise ValueError(f"{path!r} isn't below the folder")
+    return out
+
+
 class _FileWriter(DataSourceWriter):
-    """Writes to a name of its own first and renames, so that a task that runs again replaces whole files."""
+    """Writes to a name of its own first and renames, so that a task that runs again replaces whole files.
+
+    A failed write leaves no part of a file; a job that fails leaves the whole
+    files that its tasks had written, which the next run replaces.
+    """
 
     def __init__(self, folder: str) -> None:
         self.folder = folder
@@ -39,11 +54,16 @@ class _FileWriter(DataSourceWriter):
         paths = []
         for row in rows:
             if row.content is not None:
-                path = os.path.join(self.folder, row.path.lstrip("/"))
+                path = place_of(self.folder, row.path)
                 os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(f"{path}.{os.getpid()}.part", "wb") as f:
-                    f.write(row.content)
-                os.replace(f.name, path)
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                try:
+                    with open(part, "wb") as f:
+                        f.write(row.content)
+                    os.replace(part, path)
+                finally:
+                    with contextlib.suppress(FileNotFoundError):
+                        os.remove(part)
                 paths.append(path)
         return _Written(paths)
 
@@ -60,6 +80,7 @@ class FileSink(DataSource):
 
 
 def write_files(files: DataFrame, folder: str) -> None:
+    """Writes rows (path, content) below folder; rows without content (files that couldn't be made) write nothing, so filter on error_code to see them."""
     files.sparkSession.dataSource.register(FileSink)
     files.select("path", "content").write.format("media_files").option("folder", folder).mode("append").save()
 

@@ -1,13 +1,14 @@
 """Picture decoders against files that the JVM's ImageIO writes, and its own reading of them."""
 
 import struct
+import zlib
 
 import numpy as np
 import pytest
 
 from reelframe.operators import decode, pictures
 from reelframe.operators.jpeg import jpeg, rgb_of, upsampled
-from reelframe.sources import demux
+from reelframe.sources import demux, sinks
 from reelframe.sources.containers import Malformed
 from reelframe.sources.sinks import png_bytes
 
@@ -132,6 +133,32 @@ def test_compressed_tiff(java, compression, channels):
     assert (pictures.tiff(content)[1] == x).all()
 
 
+def test_broken_pictures_end(java):
+    """Whatever a changed byte does, a decoder ends, in a picture or an error."""
+    image, rng = java.image(pixels(33, 20)), np.random.default_rng(1)
+    kinds = [(jpeg, java.write(image, "jpeg")), (jpeg, java.write(image, "jpeg", True)), (pictures.png, java.write(image, "png", True)), (pictures.tiff, java.write(image, "tiff", compression="LZW"))]
+    for decoder, content in kinds:
+        for _ in range(60):
+            b = bytearray(content)
+            for at in rng.integers(0, len(b), 3):
+                b[at] = rng.integers(0, 256)
+            try:
+                assert decoder(bytes(b))[1].ndim == 3
+            except (Malformed, IndexError, ValueError, OverflowError, KeyError, TypeError, zlib.error):  # decode() makes each a row
+                pass
+
+
+def test_sink_stays_in_its_folder(spark, tmp_path):
+    assert sinks.place_of("/a/b", "file:///x/y.wav") == "/a/b/x/y.wav" and sinks.place_of("/a/b/", "x//y") == "/a/b/x/y" and sinks.place_of("/a", "s3://k/z") == "/a/k/z"
+    for path in ("../c", "x/../../c", "..", ""):
+        with pytest.raises(ValueError):
+            sinks.place_of("/a/b", path)
+    files = spark.createDataFrame([("d/a.bin", b"12", 0), ("b.bin", None, 3002)], sinks.FILES)
+    for _ in range(2):
+        sinks.write_files(files, str(tmp_path))
+    assert [str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()] == ["d/a.bin"]
+
+
 def test_jpeg_files_end_to_end(spark, java):
     content = java.write(java.image(pixels(24, 40)), "jpeg")
     src = demux.sources(spark.createDataFrame([("a.jpg", content), ("b.jpg", content[:200])], "path string, content binary"))
