@@ -33,7 +33,11 @@ def text_hex(c: str) -> Column:
 
 def as_files(df: DataFrame, path: Column, digits: Column) -> DataFrame:
     """Sources of files whose content is given in hex; path names the row."""
-    content = F.unhex(digits)
+    return with_content(df, path, F.unhex(digits))
+
+
+def with_content(df: DataFrame, path: Column, content: Column) -> DataFrame:
+    """Sources of files of the content given; path names the row."""
     return demux.sources(df.select(path.cast("string").alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content")))
 
 
@@ -93,18 +97,22 @@ def flac_round_trip(spark, sf_dir):
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as shuffles have, for rows that are small until files are made from them: a few MB of a table would be one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _mp3s(spark, sf_dir) -> DataFrame:
-    p = read(spark, sf_dir, "part", "p_partkey", "p_size", "p_name")
-    frame = F.rpad(F.concat(F.lit("FFFB9000"), text_hex("p_name")), 2 * 417, "0")
-    return as_files(p, F.col("p_partkey"), F.concat(F.lit("4944330400" + "00" * 5), F.repeat(frame, F.col("p_size"))))
+    p = spread(read(spark, sf_dir, "part", "p_partkey", "p_size", "p_name"))
+    frame = F.rpad(F.concat(F.lit(bytes.fromhex("FFFB9000")), F.encode("p_name", "UTF-8")), 417, F.lit(b"\0"))
+    return with_content(p, F.col("p_partkey"), F.concat(F.lit(b"ID3\4" + bytes(6)), F.rpad(frame, F.col("p_size") * 417, frame)))
 
 
 @query("SELECT p_partkey, k AS seq, k * 1152 AS pts, 10 + k * 417 AS pos, 1152 AS duration, 417 AS size, 44100 AS sample_rate, 2 AS channels FROM part, unnest(range(p_size)) AS u(k)")
 def mp3_packets(spark, sf_dir):
     """MP3 files of p_size frames behind an empty ID3 tag: a packet for each frame, its pts the samples before it."""
-    src = _mp3s(spark, sf_dir)
-    t = demux.tracks(src).select(F.col("path").alias("t_path"), F.col("audio.sample_rate").alias("sample_rate"), F.col("audio.channels").alias("channels"))
-    return demux.packets(src).join(t, F.col("path") == F.col("t_path")).select(key_of().alias("p_partkey"), "seq", "pts", "pos", "duration", F.octet_length("payload").alias("size"), "sample_rate", "channels")
+    p = demux.packets(_mp3s(spark, sf_dir), track=["audio"])
+    return p.select(F.col("path").cast("long").alias("p_partkey"), "seq", "pts", "pos", "duration", F.octet_length("payload").alias("size"), F.col("track_audio.sample_rate").alias("sample_rate"), F.col("track_audio.channels").alias("channels"))
 
 
 def _pages(c: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ never all in memory as rows. A malformed file gives one row with error_code.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +17,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from reelframe import schemas
 from reelframe.functions import detect
-from reelframe.sources.containers import Malformed, Parser, audio, bmff, flac, images, matroska
+from reelframe.sources.containers import Malformed, Parser, audio, bmff, flac, images, matroska, packet
 
 PARSERS: dict[str, Parser] = {
     "wav": audio.wav, "mp3": audio.mp3, "ogg": audio.ogg, "flac": flac.flac, "mp4": bmff.bmff, "mov": bmff.bmff, "m4a": bmff.bmff, "mkv": matroska.matroska, "webm": matroska.matroska,
     "png": images.png, "jpeg": images.jpeg, "gif": images.gif, "bmp": images.bmp, "tga": images.tga, "tiff": images.tiff, "webp": images.webp,
 }
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
+#: Parsers that give packets in blocks, by column; for files of many small packets.
+BLOCKS: dict[str, Parser] = {"mp3": audio.mp3_blocks}
+BATCH_BYTES, BATCH_ROWS, BLOCK_ROWS = 4 << 20, 1024, 16384
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -37,20 +42,60 @@ def sources(files: DataFrame, compat: bool = False, container: str | None = None
     return found.select("*", "__format.container", "__format.codec").drop("__format")
 
 
-def _run(kind: str, ddl: str):
+class _Columns:
+    """Packets of blocks, gathered by column until they make a batch; what all packets of a block share is kept once."""
+
+    EACH = ("seq", "pts", "dts", "duration", "pos", "payload")
+
+    def __init__(self, schema: pa.Schema) -> None:
+        self.schema = schema
+        self.shared = pa.schema([f for f in schema if f.name not in self.EACH])
+        self.clear()
+
+    def clear(self) -> None:
+        self.each: dict[str, list] = {name: [] for name in self.EACH}
+        self.runs, self.counts, self.bytes = [], [], 0
+
+    def add(self, content: bytes, block: dict, shared: dict) -> bool:
+        """Takes a block of a file in; whether that makes a batch."""
+        n = len(block["pos"])
+        payload = [content[at : at + size] for at, size in zip(block["pos"], block["size"], strict=True)]
+        for name, values in (("seq", range(block["seq"], block["seq"] + n)), ("pts", block["pts"]), ("dts", block["pts"]), ("duration", block["duration"]), ("pos", block["pos"]), ("payload", payload)):
+            self.each[name].extend(values)
+        self.runs.append(_row(self.shared, packet(0, 0, b"")[1] | shared))
+        self.counts.append(n)
+        self.bytes += sum(block["size"])
+        return self.bytes > BATCH_BYTES or len(self.each["pos"]) >= BLOCK_ROWS
+
+    def batch(self) -> pa.RecordBatch:
+        of = pa.array(np.repeat(np.arange(len(self.counts)), self.counts))
+        shared = pa.RecordBatch.from_pylist(self.runs, self.shared).take(of)
+        out = [pa.array(self.each[f.name], f.type) if f.name in self.each else shared.column(f.name) for f in self.schema]
+        self.clear()
+        return pa.RecordBatch.from_arrays(out, schema=self.schema)
+
+
+def _run(kind: str, ddl: str, track: Sequence[str] = ()):
     schema = to_arrow_schema(schemas.struct(ddl))
 
     def run(batches):
-        rows, held = [], 0
+        rows, held, columns = [], 0, _Columns(schema)
         for batch in batches:
-            for path, container, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, container, content in zip(*((x.as_py() for x in c) for c in batch.columns), strict=True):  # a file at a time
+                seen: dict[int, dict] = {}  # columns of the file's tracks
                 try:
-                    parser = PARSERS.get(container)
+                    parser = BLOCKS.get(container) or PARSERS.get(container)
                     if parser is None:
                         raise Malformed(3001 if container is None else 3002)
-                    for name, item in parser(bytes(content or b"")):
-                        if name == kind:
-                            rows.append(_row(schema, item | {"path": path}))
+                    content = content or b""
+                    for name, item in parser(content):
+                        if name == "track" and track:
+                            seen[item["index"]] = {f"track_{c}": item.get(c) for c in track}
+                        if name == "block" and kind == "packet":
+                            if columns.add(content, item, {"path": path} | seen.get(0, {})):
+                                yield columns.batch()
+                        elif name == kind:
+                            rows.append(_row(schema, item | {"path": path} | (seen.get(item["stream_index"], {}) if track else {})))
                             held += len(item.get("payload") or b"")
                             if held > BATCH_BYTES or len(rows) >= BATCH_ROWS:
                                 yield pa.RecordBatch.from_pylist(rows, schema)
@@ -59,6 +104,8 @@ def _run(kind: str, ddl: str):
                     rows.append(_row(schema, {"path": path, "error_code": e.code}))
                 except Exception:  # whatever a broken file does to its parser, the other files go on
                     rows.append(_row(schema, {"path": path, "error_code": 3004}))
+        if columns.runs:
+            yield columns.batch()
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -75,7 +122,7 @@ def _fitting(value, kind: pa.DataType):
 
 
 def _row(schema: pa.Schema, item: dict) -> dict:
-    return {f.name: list(item[f.name].items()) if f.name == "metadata" and item.get(f.name) else _fitting(item.get(f.name), f.type) for f in schema}
+    return {f.name: list(item[f.name].items()) if pa.types.is_map(f.type) and item.get(f.name) else _fitting(item.get(f.name), f.type) for f in schema}
 
 
 def tracks(src: DataFrame) -> DataFrame:
@@ -83,9 +130,15 @@ def tracks(src: DataFrame) -> DataFrame:
     return src.select("path", "container", "content").mapInArrow(_run("track", schemas.TRACKS), schemas.struct(schemas.TRACKS))
 
 
-def packets(src: DataFrame) -> DataFrame:
-    """The packets of sources, numbered by seq in each file."""
-    return src.select("path", "container", "content").mapInArrow(_run("packet", schemas.PACKETS), schemas.struct(schemas.PACKETS))
+def packets(src: DataFrame, track: Sequence[str] = ()) -> DataFrame:
+    """The packets of sources, numbered by seq in each file.
+
+    track names columns of the packet's track that come along, as track_<name>:
+    a file is then read once, and nothing is joined.
+    """
+    kinds = schemas.struct(schemas.TRACKS)
+    ddl = ", ".join([schemas.PACKETS, *(f"track_{c} {kinds[c].dataType.simpleString()}" for c in track)])
+    return src.select("path", "container", "content").mapInArrow(_run("packet", ddl, track), schemas.struct(ddl))
 
 
 def boxes(src: DataFrame) -> DataFrame:
