@@ -375,10 +375,9 @@ SELECT p_partkey, target, CASE WHEN code = 0 THEN k END AS start_seq, CASE WHEN
 FROM (SELECT *, CASE WHEN target < 0 OR (target > 0 AND target >= duration) THEN 1001 WHEN k >= n THEN 3010 ELSE 0 END AS code FROM f)""")
 def mp3_seek(spark, sf_dir):
     """MP3 seeking by the bit rate: refused behind the duration, resumed at the next frame, timed by where that lies."""
-    src = _mp3s(spark, sf_dir)
-    t = demux.tracks(src)
-    found = seekfile.mp3(demux.packets(src), t, _targets(t, MP3_TARGETS))
-    return found.select(key_of().alias("p_partkey"), "target", "start_seq", "pos", "pts", "error_code")
+    asked = F.array(*(F.struct(F.lit(0).alias("stream"), F.lit(x).cast("long").alias("target")) for x in MP3_TARGETS))
+    found = seekfile.mp3_files(_mp3s(spark, sf_dir), asked)
+    return found.select(F.col("path").cast("long").alias("p_partkey"), "target", "start_seq", "pos", "pts", "error_code")
 
 
 @query(STEREO_SQL + ", c AS (SELECT track, count(*) AS n FROM s GROUP BY track), t AS (SELECT track, n, unnest([0, 5, 60, 1000]) AS target FROM c) SELECT track, target, CASE WHEN target < n THEN 0 END AS start_seq, CASE WHEN target < n THEN target // 16 * 16 END AS pts, CASE WHEN target < n THEN 0 ELSE 3005 END AS error_code FROM t")

@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from reelframe.operators import seekfile
 from reelframe.plans import files
 from reelframe.sources import demux
 from reelframe.sources.containers import audio
@@ -74,3 +76,32 @@ def test_mp3_packets_reads_files_once_in_many_tasks(spark, tmp_path):
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     # keys that repeat are files of their own
     assert sorted((r.p_partkey, r.seq, r.pos, r["size"], r.sample_rate, r.channels) for r in df.collect()) == sorted((k % 3, s, 10 + 417 * s, 417, 44100, 2) for k in range(1, 9) for s in range(k))
+
+
+def test_seeking_in_files_is_seeking_in_tables(spark, monkeypatch):
+    rng = random.Random(9)
+    gap = media.mp3_frame() * 2 + b"\0" * 40000 + media.mp3_frame() * 30  # nothing follows within the scan
+    data = [b"", b"RIFF", b"ID3\4" + bytes(6), media.mp3_frame(), gap, b"ID3\4\0\0\0\0\0\5abcde" + media.mp3_frame() * 60, *(media.mp3_frame() * 2 + padded(rng, n) for n in (5, 50))]
+    asks = [(s, t) for s in (0, -1) for t in (-5, 0, 1, 1151, 1152, 1153, 5000, 20000, 60000, 500000, 1 << 40)] + [(0, 1152), (0, None), (None, 3)]
+    src = demux.sources(spark.createDataFrame([(str(k), len(b), b) for k, b in enumerate(data)], "path string, length long, content binary"))
+    targets = src.select("path").crossJoin(spark.createDataFrame(asks, "stream int, target long"))
+    cell = lambda r: tuple("~" if v is None else v for v in r)
+    want = sorted(map(str, map(cell, seekfile.mp3(demux.packets(src), demux.tracks(src), targets).collect())))
+    assert {r.split()[-1] for r in want} == {"0)", "1001)", "3010)"}
+    asked = F.array(*(F.struct(F.lit(s).cast("int").alias("stream"), F.lit(t).cast("long").alias("target")) for s, t in asks))
+    assert sorted(map(str, map(cell, seekfile.mp3_files(src, asked).collect()))) == want and len(want) == len(data) * len(asks)
+    assert seekfile.mp3_files(src, F.lit(None)).count() == 0 and seekfile.mp3_files(src.limit(0), asked).count() == 0
+    whole = [sorted(seekfile._follow(b, asks), key=str) for b in data]
+    for block in (1, 2, 7):
+        monkeypatch.setattr(audio, "MP3_BLOCK", block)
+        assert [sorted(seekfile._follow(b, asks), key=str) for b in data] == whole
+
+
+def test_mp3_seek_reads_files_once_in_many_tasks(spark, tmp_path):
+    sf = table(spark, tmp_path, [(k % 3, f"part {k}", k) for k in range(1, 9)])
+    df = files.mp3_seek(spark, sf)
+    assert plan(df).count("MapInArrow") == 1 and "Join" not in plan(df) and "Window" not in plan(df)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = sorted((r.p_partkey, -1 if r.start_seq is None else r.start_seq, r.error_code) for r in df.where("target = 1000").collect())
+    # 1000 samples are 362 bytes: the second frame; a single one has 1177 samples and none follows
+    assert got == sorted((k % 3, 1 if k > 1 else -1, 0 if k > 1 else 3010) for k in range(1, 9))
